@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 
 def last_part(text: Column, token: str) -> Column:
     """The text after the last ``token``; tokens at the very end do not count."""
-    trimmed = (
-        F.rtrim(text, F.lit(token))
-        if len(token) == 1
-        else F.regexp_replace(text, f"({re.escape(token)})+$", "")
-    )
+    trimmed = F.regexp_replace(text, f"({re.escape(token)})+$", "")
     return F.substring_index(trimmed, token, -1)
 
 
@@ -27,7 +23,7 @@ def layer_of(file_name: Column, suffix_only: bool = False) -> Column:
     """The name without ``.<node>``: every occurrence, or only the one at the end."""
     suffix = F.concat(F.lit("."), node_of(file_name))
     if suffix_only:
-        trimmed = F.rtrim(file_name, F.lit("."))
+        trimmed = F.regexp_replace(file_name, r"\.+$", "")
         kept = F.length(trimmed) - F.length(suffix)
         return F.when(F.endswith(trimmed, suffix), F.left(trimmed, kept)).otherwise(trimmed)
     return F.replace(file_name, suffix, F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.names import node_of
@@ -21,6 +21,13 @@ def wall_clock(as_of: datetime | str | None) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def one_span(spark: SparkSession, start: datetime | str, end: datetime | str) -> DataFrame:
+    """Bounds that are the same for every directory."""
+    return spark.range(1).select(
+        wall_clock(start).alias("start_ts"), wall_clock(end).alias("end_ts")
+    )
+
+
 def is_marker_log(file_name: Column) -> Column:
     return file_name.contains(MARKER_LOG)
 
@@ -89,19 +96,15 @@ def command_bounds(
 
 def with_bounds(
     lines: DataFrame,
-    bounds: DataFrame | tuple[datetime | str, datetime | str],
+    bounds: DataFrame,
     as_of: datetime | str | None = None,
     directories: int | None = None,
 ) -> DataFrame:
     """Add ``start_ts`` and ``end_ts`` of the line's directory to every line.
 
     ``directories`` is a known bound on the number of directories; with it the
-    bounds are broadcast if they are few enough. Bounds may also be one span,
-    the same for all lines.
+    bounds are broadcast if they are few enough.
     """
-    if isinstance(bounds, tuple):
-        start, end = bounds
-        return lines.withColumns({"start_ts": wall_clock(start), "end_ts": wall_clock(end)})
     now = wall_clock(as_of)
     spans = bounds.select("source_dir", "start_ts", "end_ts")
     return join_small(lines, spans, ["source_dir"], "left", directories).withColumns(

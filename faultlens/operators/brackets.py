@@ -23,8 +23,8 @@ def within_command(
 
     A log of any length is cut into chunks of at most ``2 ** chunk_bits`` lines,
     so no task sees more than a few chunks. The state each chunk starts with
-    comes from one row per chunk, and is added to the chunk as a line before its
-    first. ``row_id`` must be the same each time ``lines`` is evaluated: pin
+    comes from one row per chunk and is put in front of the chunk as a line without
+    number. ``row_id`` must be the same each time ``lines`` is evaluated: pin
     lines that were scanned from files.
     """
     marked = lines.withColumns(
@@ -48,7 +48,7 @@ def within_command(
         .agg(last_marker.alias("_last"))
         .withColumn("_on", F.last("_last", ignorenulls=True).over(before))
         .filter("_on")
-        .select(*chunk, "_on", F.lit(-1).cast("bigint").alias("row_id"))
+        .select(*chunk, "_on", F.lit(None).cast("bigint").alias("row_id"))
     )
 
     so_far = (

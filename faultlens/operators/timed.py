@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions.rules import by_layer, in_window
+from faultlens.functions.rules import in_window
 from faultlens.functions.stamps import (
     dated_ts,
     epoch_ts,
@@ -15,18 +13,15 @@ from faultlens.functions.stamps import (
     project_yearless,
     yearless_ts,
 )
-from faultlens.model import CFGLOG, POOL, SYSLOG, VIOCMD
+from faultlens.model import CFGLOG, POOL, SYSLOG, TIMED_LAYERS, VIOCMD
+from faultlens.runtime import join_small
 
 
-def _once(stamp: Column, test: Callable[[Column], Column]) -> Column:
+def _keep_in_window(lines: DataFrame, stamp: Column, start: Column, end: Column) -> DataFrame:
     # The stamp stands in the condition once, inside the array: written out per
     # comparison, it would be computed again for each of them.
-    return F.exists(F.array(stamp), test)
-
-
-def _keep_in_window(lines: DataFrame, stamp: Column, start: Column, end: Column) -> DataFrame:
-    stamped = lines.withColumn("event_ts", stamp)
-    return stamped.filter(_once(F.col("event_ts"), lambda t: in_window(t, start, end)))
+    inside = F.exists(F.array("event_ts"), lambda t: in_window(t, start, end))
+    return lines.withColumn("event_ts", stamp).filter(inside)
 
 
 def pool_in_window(lines: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -49,15 +44,56 @@ def syslog_in_window(
     return _keep_in_window(lines, stamp, project_yearless(start), project_yearless(end))
 
 
-def in_command_window(bounded: DataFrame, infer_year: bool = False) -> DataFrame:
-    """Of lines with ``event_ts`` and bounds, those inside the span of the command.
+def layer_spans(bounds: DataFrame, infer_year: bool = False) -> DataFrame:
+    """What ``start_ts`` and ``end_ts`` mean for each layer, as ``span_start``, ``span_end``.
 
-    The layer tells how to compare: year-less stamps against the bounds moved to
-    1970, or with ``infer_year`` in whichever year of the span they fit. Lines of
-    the configuration log are kept whatever their time.
+    Year-less stamps are compared in 1970, so their bounds are moved there, once
+    per directory rather than once per line.
     """
-    layer, stamp = F.col("layer"), F.col("event_ts")
     start, end = F.col("start_ts"), F.col("end_ts")
+    moved = (start, end) if infer_year else (project_yearless(start), project_yearless(end))
+    spans = [
+        F.struct(
+            F.lit(layer).alias("layer"), first.alias("span_start"), last.alias("span_end")
+        )
+        for layer, (first, last) in (
+            (POOL, (start, end)),
+            (VIOCMD, (start, end)),
+            (SYSLOG, moved),
+        )
+    ]
+    kept = [name for name in bounds.columns if name == "source_dir"]
+    return bounds.select(*kept, F.inline(F.array(*spans)))
+
+
+def in_command_span(
+    errors: DataFrame,
+    bounds: DataFrame,
+    as_of: Column,
+    directories: int | None = None,
+    infer_year: bool = False,
+) -> DataFrame:
+    """Of stamped error lines, those inside the span of the command.
+
+    Bounds without ``source_dir`` are one span for all directories. Lines of
+    directories without bounds are held against ``as_of`` alone. Lines of the
+    configuration log are kept whatever their time. With ``infer_year``, a
+    year-less stamp counts in whichever year of the span it fits.
+    """
+    if "source_dir" in bounds.columns:
+        key, known = ["source_dir", "layer"], directories
+    else:
+        key, known = ["layer"], 1
+    size = None if known is None else known * len(TIMED_LAYERS)
+    spans = layer_spans(bounds, infer_year)
+
+    layer, stamp = F.col("layer"), F.col("event_ts")
+    moved = as_of if infer_year else project_yearless(as_of)
+    missing = F.when(layer == SYSLOG, moved).otherwise(as_of)
+    start, end = F.col("span_start"), F.col("span_end")
+    bounded = join_small(errors, spans, key, "left", size).withColumns(
+        {"span_start": F.coalesce(start, missing), "span_end": F.coalesce(end, missing)}
+    )
     if infer_year:
         fitting = F.filter(
             F.transform(
@@ -67,18 +103,4 @@ def in_command_window(bounded: DataFrame, infer_year: bool = False) -> DataFrame
         )
         fitted = F.when(layer == SYSLOG, F.get(fitting, F.lit(0))).otherwise(stamp)
         bounded = bounded.withColumn("event_ts", fitted)
-
-    def inside(t: Column) -> Column:
-        plain = in_window(t, start, end)
-        yearless = in_window(t, project_yearless(start), project_yearless(end))
-        return by_layer(
-            layer,
-            {
-                POOL: plain,
-                VIOCMD: plain,
-                SYSLOG: t.isNotNull() if infer_year else yearless,
-                CFGLOG: F.lit(True),
-            },
-        )
-
-    return bounded.filter(_once(F.col("event_ts"), inside))
+    return bounded.filter((layer == CFGLOG) | in_window(stamp, start, end))

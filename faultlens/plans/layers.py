@@ -7,7 +7,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions.rules import by_layer, command_marker, error_rules
+from faultlens.functions.rules import (
+    by_layer,
+    error_rules,
+    is_command_end,
+    is_command_start,
+)
 from faultlens.functions.stamps import line_stamps
 from faultlens.model import (
     CFGLOG,
@@ -20,9 +25,9 @@ from faultlens.model import (
     VIOCMD,
     Options,
 )
-from faultlens.operators.bounds import command_bounds, is_marker_log, with_bounds
+from faultlens.operators.bounds import command_bounds, is_marker_log, one_span, wall_clock
 from faultlens.operators.brackets import within_command
-from faultlens.operators.timed import in_command_window
+from faultlens.operators.timed import in_command_span
 from faultlens.runtime import pin
 
 Span = tuple[datetime | str, datetime | str]
@@ -31,7 +36,7 @@ Span = tuple[datetime | str, datetime | str]
 def is_trace_line(command: str, options: Options) -> Column:
     """Lines of a command trace that matter later: markers and error lines."""
     line = F.col("line")
-    marker = command_marker(line, command).isNotNull()
+    marker = is_command_start(line, command) | is_command_end(line, command)
     return marker | error_rules(line, options.strict)[IOSCLI]
 
 
@@ -57,8 +62,10 @@ def windowed_errors(
     options: Options,
 ) -> DataFrame:
     """Stamped error lines inside the command span of their directory."""
-    bounded = with_bounds(errors, bounds, as_of, directories)
-    return in_command_window(bounded, options.infer_year).select(*ERROR_COLUMNS)
+    if isinstance(bounds, tuple):
+        bounds = one_span(errors.sparkSession, *bounds)
+    inside = in_command_span(errors, bounds, wall_clock(as_of), directories, options.infer_year)
+    return inside.select(*ERROR_COLUMNS)
 
 
 def dispatch_errors(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from faultlens.functions.names import layer_of, node_of
 from faultlens.model import LINE_COLUMNS
 
-# A log is a file, or a directory of parts as distributed writers leave them;
-# such a directory may be named ``column=log``.
-PART_PREFIX = "part-"
+# A log is a file, or a directory of part files as distributed writers leave
+# them; such a directory may be named ``column=log``. Groups: source, log, part.
+LOG_PATH = r"(?s)^(.*)/(?:[^/=]*=(?=[^/]*/part-))?((?!part-)[^/]+)(?:/(part-[^/]*))?$"
+PART_FILE = r"/part-[^/]*$"
 
 
 def read_dir_list(spark: SparkSession, conf: str | list[str]) -> DataFrame:
@@ -20,26 +21,18 @@ def read_dir_list(spark: SparkSession, conf: str | list[str]) -> DataFrame:
     return spark.read.text(conf).select(F.col("value").alias("source_dir")).filter("source_dir != ''")
 
 
-def _decoded(text: Column) -> Column:
-    # File metadata spells blanks and the like as %xx, but leaves "+" alone.
-    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-
-
 def _log_parts(file_path: Column, suffix_only: bool) -> dict[str, Column]:
-    """What a file's path says about the log it belongs to."""
-    leaf = F.substring_index(file_path, "/", -1)
-    is_part = leaf.startswith(PART_PREFIX)
-    parent = F.left(file_path, F.length(file_path) - F.length(leaf) - 1)
-    log = F.when(is_part, parent).otherwise(file_path)
-    entry = F.substring_index(log, "/", -1)
-    name = F.when(is_part, F.substring_index(entry, "=", -1)).otherwise(entry)
+    """What a file's path, as file metadata spells it, says about its log."""
+    # Blanks and the like are spelled %xx, but "+" is left alone.
+    path = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(path, LOG_PATH, 2)
     return {
-        "source_dir": F.left(log, F.length(log) - F.length(entry) - 1),
-        "path": log,
+        "source_dir": F.regexp_extract(path, LOG_PATH, 1),
+        "path": F.regexp_replace(path, PART_FILE, ""),
         "file_name": name,
         "node": node_of(name),
         "layer": layer_of(name, suffix_only),
-        "part": F.when(is_part, leaf).otherwise(""),
+        "part": F.regexp_extract(path, LOG_PATH, 3),
     }
 
 
@@ -75,12 +68,11 @@ def scan_log_lines(
         lines = lines.filter(F.col("layer").isin(*layers))
     elif which is not None:
         lines = lines.filter(which)
-    named = {name: _decoded(F.col(name)) for name in parts}
     position = {
         "block_start": F.col("_metadata.file_block_start"),
         "row_id": F.monotonically_increasing_id(),
     }
-    return lines.withColumns({**named, **position}).select(*LINE_COLUMNS)
+    return lines.withColumns(position).select(*LINE_COLUMNS)
 
 
 def catalog_of(
@@ -91,7 +83,7 @@ def catalog_of(
     # A listing writes an absent host as file:///, file metadata as file:/.
     paths = paths.withColumn("file_path", F.replace("file_path", F.lit(":///"), F.lit(":/")))
     parts = _log_parts(F.col("file_path"), suffix_only)
-    names = [_decoded(value).alias(name) for name, value in parts.items() if name != "part"]
+    names = [value.alias(name) for name, value in parts.items() if name != "part"]
     return paths.select("file_path", *names)
 
 
