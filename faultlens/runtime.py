@@ -54,7 +54,7 @@ def join_small(
     """
     if rows is not None and rows <= BROADCAST_ROWS:
         return lines.join(F.broadcast(small), on, how)
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = small.withColumn("_salt", F.explode(salts).cast("bigint"))
+    first, last = (F.lit(n).cast("bigint") for n in (0, SALTS - 1))
+    salted = small.withColumn("_salt", F.explode(F.sequence(first, last)))
     spread = lines.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
