@@ -14,7 +14,7 @@ from faultlens.functions.stamps import (
     yearless_ts,
 )
 from faultlens.model import CFGLOG, POOL, SYSLOG, TIMED_LAYERS, VIOCMD
-from faultlens.runtime import join_small
+from faultlens.runtime import computed_once, join_small
 
 
 def _keep_in_window(lines: DataFrame, stamp: Column, start: Column, end: Column) -> DataFrame:

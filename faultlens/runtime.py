@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.model import BROADCAST_ROWS, SALTS
@@ -44,6 +44,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters read instead of repeating its expression.
+
+    Filters are pushed through plain projections, each mention of the column
+    replaced by its expression. They are not pushed through a generator, here
+    one that gives a single row.
+    """
+    return df.withColumn(name, value).withColumn(name, F.explode(F.array(name)))
+
+
 def join_small(
     lines: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None
 ) -> DataFrame:
@@ -57,4 +67,6 @@ def join_small(
     first, last = (F.lit(n).cast("bigint") for n in (0, SALTS - 1))
     salted = small.withColumn("_salt", F.explode(F.sequence(first, last)))
     spread = lines.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    # The hint keeps the planner from a broadcast: it does not see how often the
+    # small side was repeated.
+    return spread.join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.rules import by_layer
 from faultlens.model import CFGLOG, IOSCLI, LINE_COLUMNS, POOL, SYSLOG, VIOCMD
+from faultlens.runtime import computed_once
 
 NODES = 4  # nodes in the rendered logs, and directories, as one belongs to each
 LOGS = 20  # five layers of four nodes
@@ -19,16 +20,16 @@ def _stamp(ts: Column, pattern: str) -> Column:
 def _log_lines(rows: DataFrame, line: Column) -> DataFrame:
     """Rows with ``node``, ``layer`` and ``row_id`` as log lines of ``layer.node``."""
     path = F.concat_ws(".", "layer", "node")
-    return rows.withColumns(
+    named = rows.withColumns(
         {
             "source_dir": F.col("node"),
             "path": path,
             "file_name": path,
             "part": F.lit(""),
             "block_start": F.lit(0).cast("bigint"),
-            "line": line,
         }
-    ).select(*LINE_COLUMNS)
+    )
+    return computed_once(named, "line", line).select(*LINE_COLUMNS)
 
 
 def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
