@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultlens.functions.names import last_part
 from faultlens.model import POOL, SYSLOG, VIOCMD
 
 # The month names line stamps may carry.
@@ -33,8 +32,8 @@ EPOCH_STAMP = r":(\d{10}):"
 DATED_STAMP = r"(?:{months})\s+\d{{1,2}}\s+\d{{4}},\s+\d{{2}}:\d{{2}}:\d{{2}}"
 YEARLESS_STAMP = r"(?:{months})\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}"
 COMMAND_STAMP = (
-    rf"^ ((?i:{ALL_MONTHS})  [ \t]*\d{{1,4}} [ \t]*\d{{1,4}}, (?i:{WEEKDAYS}), "
-    r"[ \t]*\d{1,4}:[ \t]*\d{1,4}:[ \t]*\d{1,4})(?:\D|$)"
+    rf"(?i:{ALL_MONTHS})  [ \t]*\d{{1,4}} [ \t]*\d{{1,4}}, (?i:{WEEKDAYS}), "
+    r"[ \t]*\d{1,4}:[ \t]*\d{1,4}:[ \t]*\d{1,4}"
 )
 STARTED = "Started at"
 ENDED = "Ended at"
@@ -53,6 +52,18 @@ def yearless_pattern(all_months: bool = False) -> str:
     return YEARLESS_STAMP.format(months=ALL_MONTHS if all_months else LINE_MONTHS)
 
 
+def command_pattern(verb: str) -> str:
+    """The stamp behind the last verb and, from there, behind the last arrow.
+
+    A verb or arrow counts if anything but its like follows to the end of the line.
+    """
+
+    def no_later(token: str) -> str:
+        return f"(?!.*{token}(?!(?:{token})*$))"
+
+    return f"{verb}{no_later(verb)}(?:.*{ARROW})?{no_later(ARROW)} ({COMMAND_STAMP})(?:\\D|$)"
+
+
 def _month_number(name: Column) -> Column:
     short = F.lower(F.left(name, F.lit(3)))
     return ((F.position(short, F.lit(_MONTH_ORDER)) + 2) / 3).cast("int")
@@ -108,7 +119,6 @@ def command_ts(line: Column, verb: str, fix_noon: bool = False) -> Column:
     The hours are those of a 12-hour clock without AM or PM: 12 reads as 0
     unless ``fix_noon``, while 13 to 23 stay as they are.
     """
-    tail = last_part(last_part(line, verb), ARROW)
 
     def build(parts: Column, number: Callable[[int], Column]) -> Column:
         hour = number(4) if fix_noon else F.when(number(4) == 12, 0).otherwise(number(4))
@@ -116,7 +126,7 @@ def command_ts(line: Column, verb: str, fix_noon: bool = False) -> Column:
             number(2), _month_number(parts[0]), number(1), hour, number(5), number(6)
         )
 
-    return _from_fields(F.regexp_extract(tail, COMMAND_STAMP, 1), build)
+    return _from_fields(F.regexp_extract(line, command_pattern(verb), 1), build)
 
 
 def project_yearless(stamp: Column) -> Column:

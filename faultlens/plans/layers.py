@@ -81,7 +81,9 @@ def dispatch_errors(
 
     Other layers yield nothing. Bounds may be given; otherwise they are found in
     the marker logs. The marker logs are read once: their markers and error
-    lines serve the bounds and the brackets. The other layers are one pass.
+    lines serve the bounds and the brackets. The other layers are one pass. A
+    catalogue, if given, saves a pass to list the marker logs; ``directories``
+    is a known bound on their number.
     """
     layer, line = F.col("layer"), F.col("line")
     of_trace = (layer == IOSCLI) | is_marker_log(F.col("file_name"))
@@ -133,7 +135,7 @@ def analyze_pool(lines: DataFrame, command: str = DEFAULT_COMMAND, **more) -> Da
 
 
 def analyze_viocmd(lines: DataFrame, command: str = DEFAULT_COMMAND, **more) -> DataFrame:
-    """Virtual I/O command errors in the span of the command."""
+    """Errors of the vioCmd log in the span of the command."""
     return analyze_layer(lines, VIOCMD, command, **more)
 
 

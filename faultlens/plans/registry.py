@@ -31,11 +31,12 @@ from faultlens.operators import timed, views
 from faultlens.operators.bounds import command_bounds, wall_clock, with_bounds
 from faultlens.operators.brackets import within_command
 from faultlens.plans import layers
-from faultlens.runtime import new_shared_path
+from faultlens.runtime import new_shared_path, pin
 from faultlens.sources import logs, sinks
 from faultlens.sources.tables import (
     LOGS,
     NODES,
+    event_catalog,
     event_log_lines,
     order_log_lines,
     table_catalog,
@@ -74,14 +75,14 @@ def scan_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_shared_path(spark, "log-catalog")
-    found = table_catalog(event_log_lines(spark, sf_dir))
+    found = event_catalog(spark, sf_dir)
     sinks.write_log_dirs(found.withColumn("line", F.col("path")), root)
     return logs.log_catalog(spark, [root]).select("file_name", "node", "layer")
 
 
 def read_dir_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = new_shared_path(spark, "dir-list")
-    found = table_catalog(event_log_lines(spark, sf_dir)).select("source_dir").distinct()
+    found = event_catalog(spark, sf_dir).select("source_dir").distinct()
     found.write.text(conf)
     return logs.read_dir_list(spark, conf)
 
@@ -250,8 +251,9 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Errors within the spans found in the logs themselves, and the logs."""
     lines = event_log_lines(spark, sf_dir)
-    errors = layers.dispatch_errors(lines, as_of=AS_OF, directories=NODES)
-    return errors, table_catalog(lines)
+    catalog = pin(event_catalog(spark, sf_dir))
+    errors = layers.dispatch_errors(lines, as_of=AS_OF, catalog=catalog, directories=NODES)
+    return errors, catalog
 
 
 def dispatch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,32 +13,50 @@ NODES = 4  # nodes in the rendered logs, and directories, as one belongs to each
 LOGS = 20  # five layers of four nodes
 
 
-def _stamp(ts: Column, pattern: str) -> Column:
-    return F.date_format(ts, pattern)
+CATALOG_COLUMNS = ("source_dir", "path", "file_name", "node", "layer")
 
 
-def _log_lines(rows: DataFrame, line: Column) -> DataFrame:
-    """Rows with ``node``, ``layer`` and ``row_id`` as log lines of ``layer.node``."""
+def _log_names(rows: DataFrame) -> DataFrame:
+    """Add the names of the log ``layer.node`` to rows with node and layer."""
     path = F.concat_ws(".", "layer", "node")
-    named = rows.withColumns(
-        {
-            "source_dir": F.col("node"),
-            "path": path,
-            "file_name": path,
-            "part": F.lit(""),
-            "block_start": F.lit(0).cast("bigint"),
-        }
+    return rows.withColumns({"source_dir": F.col("node"), "path": path, "file_name": path})
+
+
+def _log_lines(rows: DataFrame, line: Column) -> DataFrame:
+    """Named rows with ``row_id`` as log lines in one block per log."""
+    placed = rows.withColumns({"part": F.lit(""), "block_start": F.lit(0).cast("bigint")})
+    return computed_once(placed, "line", line).select(*LINE_COLUMNS)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id",
+        "ts",
+        "event_type",
+        (F.col("user_id") % NODES).alias("node_number"),
+        (F.col("event_id") % 5).alias("layer_number"),
     )
-    return computed_once(named, "line", line).select(*LINE_COLUMNS)
+
+
+def _named(events: DataFrame) -> DataFrame:
+    number = F.col("layer_number")
+    layer = (
+        F.when(number == 0, POOL)
+        .when(number == 1, IOSCLI)
+        .when(number == 2, VIOCMD)
+        .when(number == 3, SYSLOG)
+        .otherwise(CFGLOG)
+    )
+    node = F.concat(F.lit("node"), (F.col("node_number") + 1).cast("string"))
+    return _log_names(events.withColumns({"node": node, "layer": layer}))
 
 
 def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event: five layers, four nodes, positions from the event id."""
-    number = F.col("event_id") % 5
     ts, kind = F.col("ts"), F.col("event_type")
     failed = kind == "error"
     code = F.when(failed, 10 + F.col("event_id") % 89).otherwise(0).cast("string")
-    command = _stamp(ts, "MMM  dd yyyy, EEE, HH:mm:ss")
+    command = F.date_format(ts, "MMM  dd yyyy, EEE, HH:mm:ss")
     midnight = F.unix_date(F.to_date(ts)).cast("bigint") * 86400
     epoch = (midnight + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("string")
     shapes = {
@@ -50,40 +68,32 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .when(kind == "purchase", F.concat(F.lit("Command pv Ended at >>>>>> "), command))
         .otherwise(F.concat(F.lit("call rc = "), code)),
-        VIOCMD: F.concat(_stamp(ts, "MMM d yyyy, HH:mm:ss"), F.lit(" vio rc "), code),
+        VIOCMD: F.concat(F.date_format(ts, "MMM d yyyy, HH:mm:ss"), F.lit(" vio rc "), code),
         SYSLOG: F.concat(
-            _stamp(ts, "MMM d HH:mm:ss"),
+            F.date_format(ts, "MMM d HH:mm:ss"),
             F.lit(" host "),
             F.when(failed, "caa:err").otherwise("caa:info"),
             F.lit(" x"),
         ),
         CFGLOG: F.concat(F.lit("cfg "), F.when(failed, "Error").otherwise("ok")),
     }
-    layer = (
-        F.when(number == 0, POOL)
-        .when(number == 1, IOSCLI)
-        .when(number == 2, VIOCMD)
-        .when(number == 3, SYSLOG)
-        .otherwise(CFGLOG)
-    )
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "ts",
-        "event_type",
-        "event_id",
-        F.concat(F.lit("node"), (F.col("user_id") % NODES + 1).cast("string")).alias("node"),
-        layer.alias("layer"),
-        F.col("event_id").alias("row_id"),
-    )
+    events = _named(_events(spark, sf_dir)).withColumn("row_id", F.col("event_id"))
     return _log_lines(events, by_layer(F.col("layer"), shapes))
 
 
+def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of :func:`event_log_lines`, told apart by number before they are named."""
+    logs = _events(spark, sf_dir).select("node_number", "layer_number").distinct()
+    return _named(logs).select(*CATALOG_COLUMNS)
+
+
 def order_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dated line per order, with short and long month names in turn."""
     key = F.col("o_orderkey")
     zero = F.lit(0)
     ts = F.col("o_orderdate") + F.make_dt_interval(zero, zero, zero, key % 86400)
-    stamp = F.when(key % 2 == 0, _stamp(ts, "MMM d yyyy, HH:mm:ss")).otherwise(
-        _stamp(ts, "MMMM d yyyy, HH:mm:ss")
+    stamp = F.when(key % 2 == 0, F.date_format(ts, "MMM d yyyy, HH:mm:ss")).otherwise(
+        F.date_format(ts, "MMMM d yyyy, HH:mm:ss")
     )
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey",
@@ -92,9 +102,9 @@ def order_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(VIOCMD).alias("layer"),
         key.alias("row_id"),
     )
-    return _log_lines(orders, F.concat(stamp, F.lit(" vio rc 11")))
+    return _log_lines(_log_names(orders), F.concat(stamp, F.lit(" vio rc 11")))
 
 
 def table_catalog(lines: DataFrame) -> DataFrame:
     """The logs that occur in a table of lines."""
-    return lines.select("source_dir", "path", "file_name", "node", "layer").distinct()
+    return lines.select(*CATALOG_COLUMNS).distinct()
