@@ -50,24 +50,17 @@ def command_bounds(
     starts, ends = is_command_start(line, command), is_command_end(line, command)
     log = ["source_dir", "path", "file_name"]
 
-    # Numbers only, so that both levels of the aggregate stay in hash tables.
+    # Numbers only, so that the aggregate stays in a hash table; a stamp is read
+    # only when its line comes before those seen so far.
+    start_row, end_row = F.when(starts, row_id), F.when(ends, row_id)
     per_block = (
         lines.filter(is_marker_log(F.col("file_name")))
-        .select(
-            *log,
-            "part",
-            "block_start",
-            F.when(starts, row_id).alias("start_row"),
-            F.when(starts, command_ts(line, STARTED, fix_noon)).alias("start_ts"),
-            F.when(ends, row_id).alias("end_row"),
-            F.when(ends, command_ts(line, ENDED, fix_noon)).alias("end_ts"),
-        )
         .groupBy(*log, "part", "block_start")
         .agg(
-            F.min("start_row").alias("start_row"),
-            F.min_by("start_ts", "start_row").alias("start_ts"),
-            F.min("end_row").alias("end_row"),
-            F.min_by("end_ts", "end_row").alias("end_ts"),
+            F.min(start_row).alias("start_row"),
+            F.min_by(command_ts(line, STARTED, fix_noon), start_row).alias("start_ts"),
+            F.min(end_row).alias("end_row"),
+            F.min_by(command_ts(line, ENDED, fix_noon), end_row).alias("end_ts"),
         )
     )
     block = F.struct("part", "block_start")
