@@ -18,10 +18,8 @@ from faultlens.runtime import computed_once, join_small
 
 
 def _keep_in_window(lines: DataFrame, stamp: Column, start: Column, end: Column) -> DataFrame:
-    # The stamp stands in the condition once, inside the array: written out per
-    # comparison, it would be computed again for each of them.
-    inside = F.exists(F.array("event_ts"), lambda t: in_window(t, start, end))
-    return lines.withColumn("event_ts", stamp).filter(inside)
+    stamped = computed_once(lines, "event_ts", stamp)
+    return stamped.filter(in_window(F.col("event_ts"), start, end))
 
 
 def pool_in_window(lines: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -102,5 +100,5 @@ def in_command_span(
             lambda t: in_window(t, start, end),
         )
         fitted = F.when(layer == SYSLOG, F.get(fitting, F.lit(0))).otherwise(stamp)
-        bounded = bounded.withColumn("event_ts", fitted)
+        bounded = computed_once(bounded, "event_ts", fitted)
     return bounded.filter((layer == CFGLOG) | in_window(stamp, start, end))
