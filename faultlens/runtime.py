@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from faultlens.model import BROADCAST_ROWS, SALTS
 
+_PINNED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, from ``spark.checkpoint.dir``.
@@ -37,11 +39,27 @@ def pin(df: DataFrame) -> DataFrame:
 
     Used where several later steps read the same rows: they see the same line
     positions, the input is not scanned again, and losing executors loses nothing.
+    The copy is parquet, so readers take only the columns they need. It stays until
+    :func:`release`.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = new_shared_path(spark, "pin")
+    df.write.parquet(path)
+    _PINNED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the pinned copies made after the first ``since`` ones."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_PINNED) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_PINNED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def pinned() -> int:
+    """How many pinned copies there are; a mark for :func:`release`."""
+    return len(_PINNED)
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
