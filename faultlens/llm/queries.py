@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from faultlens.llm.bloom_dedup import exact_groups
 from faultlens.llm.common import table
 from faultlens.llm.harmonic_packing import pack_documents
+from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.line_runs import dedup_lines
 from faultlens.llm.simhash import near_duplicates
+from faultlens.llm.weak_toxicity import HELD_OUT, fit, fold_of, score_documents
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 shards of near equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +44,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from four of five folds of the labels."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels"))
+    scored = score_documents(documents.select("doc_id", "text"), model)
+    held_out = F.coalesce(fold_of() == HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
