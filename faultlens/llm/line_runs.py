@@ -119,7 +119,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         runs.add(part)
         upper = edge
 
-    doomed = lines.join(runs.frequent(), ["h1", "h2"]).filter("doc_id <> keeper")
+    # Written first: Spark splits a large key's rows only between plain exchanges.
+    frequent = pin(runs.frequent())
+    doomed = lines.join(frequent, ["h1", "h2"]).filter("doc_id <> keeper")
     dropped = doomed.groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set("pos").alias("_dropped")
     )
