@@ -132,9 +132,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     maybe = marked.filter("maybe")
     # Most code points, then the smallest doc_id; a null doc_id is passed over.
     order = F.struct("n_points", F.col("doc_id").isNotNull(), -F.col("doc_id"))
-    best = maybe.groupBy("text_sha256").agg(
-        F.max_by(F.struct("doc_id", "n_points"), order).alias("best"),
-        F.count("*").alias("group_size"),
+    # Written first: Spark splits a large group's rows only between plain exchanges.
+    best = pin(
+        maybe.groupBy("text_sha256").agg(
+            F.max_by(F.struct("doc_id", "n_points"), order).alias("best"),
+            F.count("*").alias("group_size"),
+        )
     )
     grouped = maybe.join(best, "text_sha256").select(
         "doc_id",

@@ -17,13 +17,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Tie the larger neighbours of every node to its smallest neighbour."""
     near = _both_ways(edges)
     least = near.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = pin(least.select("a", F.least("a", "m").alias("m")))
     return near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them; edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = pin(edges.groupBy("a").agg(F.min("b").alias("m")))
     tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     an id with itself are dropped. Each round is written to the shared folder,
     which cuts the lineage and survives lost executors; the minimum of a node's
     neighbours is aggregated before it is joined, so a node with very many links
-    is an aggregate and a join that Spark can split, never one group. The rounds
+    is an aggregate and, as that is written first, a join that Spark can split. The rounds
     end when the links are stars, which no round changes.
     """
     edges = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = pin(edges.distinct())
     seen = checksum(edges)
     while seen[0]:
-        edges = pin(_small_star(_large_star(edges)))
+        edges = pin(_small_star(pin(_large_star(edges))))
         now = checksum(edges)
         if now == seen:
             break

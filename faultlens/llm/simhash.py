@@ -103,7 +103,7 @@ def _links(classes: DataFrame) -> DataFrame:
     """
     screen = classes.select("fp", _postings(_screens()).alias("post")).select("fp", "post.*")
     shared = screen.groupBy("entry", "bytes").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    shared = shared.filter("lo <> hi").select("entry", "bytes")
+    shared = pin(shared.filter("lo <> hi").select("entry", "bytes"))
     active = screen.join(shared, ["entry", "bytes"], "left_semi").select("fp").distinct()
     active = classes.join(active, "fp")
 
@@ -138,8 +138,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = pin(with_fingerprints(docs))
     classes = pin(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     parts = connected_components(_links(classes))
-    named = classes.join(parts, F.col("rep") == F.col("id"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+    named = pin(
+        classes.join(parts, F.col("rep") == F.col("id"), "left").select(
+            "fp", F.coalesce("component", "rep").alias("component_id")
+        )
     )
     return rows.join(named, "fp").select(
         "doc_id",
