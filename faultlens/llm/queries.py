@@ -13,6 +13,7 @@ from faultlens.llm.common import table
 from faultlens.llm.harmonic_packing import pack_documents
 from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.line_runs import dedup_lines
+from faultlens.llm.piece_agenda import encode_and_decode
 from faultlens.llm.simhash import near_duplicates
 from faultlens.llm.weak_toxicity import HELD_OUT, fit, fold_of, score_documents
 
@@ -38,6 +39,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the agenda encoder, and what they decode to."""
+    documents = table(spark, sf_dir, "documents")
+    found = encode_and_decode(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 ids."""
     documents = table(spark, sf_dir, "documents")
@@ -58,6 +71,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
