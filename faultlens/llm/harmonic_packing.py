@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,10 +20,9 @@ END_ID = 1
 # longer ones are cut at a class's upper end, so that bins of the class are full.
 WHOLE_SHARE = 16
 CACHE_ENTRIES = 300_000
-PIECE_FIELDS = (
-    "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, offset bigint"
-)
+PIECE_FIELDS = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+# Pieces sent on at once.
+FLUSH = 2000
 # White space other than a single blank between words.
 _ODD_SPACE = re.compile(r" (?=\s)| $")
 _SPECIAL = "<|endoftext|>"
@@ -36,8 +34,8 @@ class CachedTokenizer:
     A byte-level vocabulary never joins what stands before a blank followed by
     other than white space with what comes after it, so texts are cut there and
     only words not met before go to the library, a batch's at once. Texts with
-    other white space after a blank or with the special token go there whole. The
-    cache starts afresh when it is full, which changes no result.
+    other white space after a blank or with the special token go there whole. A full
+    cache becomes the older generation, from which words met again are taken over.
     """
 
     def __init__(self, path: str):
@@ -45,6 +43,7 @@ class CachedTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(texts, add_special_tokens=False)
@@ -60,8 +59,11 @@ class CachedTokenizer:
                 # "a b" is cut into "a" and " b".
                 cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
         if len(words) > CACHE_ENTRIES:
-            words.clear()
-        new = list({word for one in cut if one for word in one if word not in words})
+            self.older, self.words = words, {}
+            words = self.words
+        met = {word for one in cut if one for word in one if word not in words}
+        words.update((word, self.older[word]) for word in met if word in self.older)
+        new = sorted(word for word in met if word not in words)
         words.update(zip(new, self._encode(new), strict=True))
         for text, one in zip(texts, cut, strict=True):
             if one is None:
@@ -139,8 +141,8 @@ class HarmonicBins:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Cut documents into pieces and pack these into sequences of ``capacity`` ids.
 
-    One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset. A document's ids are those of the tokenizer file with ``END_ID`` after
+    One row per piece: doc_id, start, length, ids (unsigned 32-bit, little-endian),
+    doc_tokens, sequence_id, offset. A document's ids are those of the tokenizer file with ``END_ID`` after
     them; null or empty text is that one id. Rows are packed as they come, repeated
     rows and null doc_ids as well; other columns are not read; an empty table
     gives an empty result.
@@ -161,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             columns = [list(column) for column in zip(*rows, strict=True)]
-            types = [docs_type] + [pa.int64()] * 6
+            types = [docs_type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
             return pa.record_batch(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
             )
@@ -176,10 +178,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
                 encoded += end
                 tokens, start = len(encoded) // 4, 0
                 for length in cut_lengths(tokens, capacity):
-                    crc = zlib.crc32(encoded[4 * start : 4 * (start + length)])
-                    full += bins.add((doc_id, start, length, crc, tokens))
+                    own = encoded[4 * start : 4 * (start + length)]
+                    full += bins.add((doc_id, start, length, own, tokens))
                     start += length
-                if len(full) > 50_000:
+                if len(full) > FLUSH:
                     yield table(full)
                     full = []
             if full:

@@ -49,11 +49,12 @@ class AgendaEncoder:
                 if len(_RUN.findall(bare)) > 1:
                     straddling.append(re.escape(bare))
         if inner or len(self.bytes_) != 256:
-            raise ValueError("the vocabulary joins words or has no byte pieces")
+            raise ValueError("the vocabulary joins words, or lacks byte pieces")
         # Merges stay within runs unless a word holds one of these pieces.
         self.straddling = re.compile("|".join(straddling)) if straddling else None
         self.runs: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.differing = 0
 
     def _agenda(self, text: str) -> tuple[int, ...]:
@@ -116,7 +117,10 @@ class AgendaEncoder:
         Should the two ever differ, the library's ids are taken and counted in
         ``differing``.
         """
+        older = self.older
         new = [word for word in words if word not in self.words]
+        self.words.update((word, older[word]) for word in new if word in older)
+        new = [word for word in new if word not in older]
         # The library puts one blank in front itself, but not in front of nothing.
         expected = self.library.encode([word[1:] for word in new], num_threads=1) if new else []
         expected = [ids or [self.scores[BLANK][1]] for ids in expected]
@@ -130,7 +134,8 @@ class AgendaEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, without begin and end."""
         if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
+            # Words met again are taken over from the older generation.
+            self.older, self.words = self.words, {}
             self.runs.clear()
         cut = []
         for text in texts:

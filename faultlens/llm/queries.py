@@ -54,7 +54,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 ids."""
     documents = table(spark, sf_dir, "documents")
-    return pack_documents(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack_documents(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
