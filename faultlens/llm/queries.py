@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens.llm import skip_chain
 from faultlens.llm.bloom_dedup import exact_groups
 from faultlens.llm.common import table
 from faultlens.llm.harmonic_packing import pack_documents
@@ -18,6 +19,25 @@ from faultlens.llm.simhash import near_duplicates
 from faultlens.llm.weak_toxicity import HELD_OUT, fit, fold_of, score_documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by patterns and by the skip-chain field."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = skip_chain.find_personal_data(documents, skip_chain.fit(documents))
+    base = F.filter("spans", lambda span: span["base"])
+
+    def count(n: int, kind: str):
+        of_kind = F.filter("spans", lambda span: span["base"] & (span["kind"] == n))
+        return F.size(of_kind).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(n, kind) for n, kind in enumerate(skip_chain.KINDS)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(skip_chain.spans_text(base), 256).alias("base_sha256"),
+        skip_chain.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of near equal bytes."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -68,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
