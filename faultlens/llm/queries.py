@@ -12,6 +12,7 @@ from faultlens.llm import skip_chain
 from faultlens.llm.bloom_dedup import exact_groups
 from faultlens.llm.common import table
 from faultlens.llm.harmonic_packing import pack_documents
+from faultlens.llm.host_suffixes import extract_main_text
 from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.line_runs import dedup_lines
 from faultlens.llm.piece_agenda import encode_and_decode
@@ -53,6 +54,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines many of them share."""
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -92,6 +99,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html": op6_html,
     "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
