@@ -15,6 +15,7 @@ from faultlens.llm.harmonic_packing import pack_documents
 from faultlens.llm.host_suffixes import extract_main_text
 from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.line_runs import dedup_lines
+from faultlens.llm.nn_descent import embedding_groups
 from faultlens.llm.piece_agenda import encode_and_decode
 from faultlens.llm.simhash import near_duplicates
 from faultlens.llm.weak_toxicity import HELD_OUT, fit, fold_of, score_documents
@@ -49,6 +50,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings at a cosine of 0.95 or more."""
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents equal up to white space."""
     return exact_groups(table(spark, sf_dir, "documents"))
@@ -98,6 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_embeddings": op4_embeddings,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html": op6_html,
     "op7_line_dedup": op7_line_dedup,
