@@ -33,7 +33,7 @@ def main() -> None:
         options=options,
     ).persist()
     report.write(args.out, args.details_format)
-    report.unpersist()
+    report.close()
 
 
 if __name__ == "__main__":

@@ -78,10 +78,11 @@ def error_rules(line: Column, strict: bool = False) -> dict[str, Column]:
 
 def by_layer(layer: Column, choices: dict[str, Column]) -> Column:
     """The choice made for the line's layer, NULL for layers without one."""
-    chosen = F
+    chosen = None
     for name, value in choices.items():
-        chosen = chosen.when(layer == name, value)
-    return chosen
+        own = layer == name
+        chosen = F.when(own, value) if chosen is None else chosen.when(own, value)
+    return F.lit(None) if chosen is None else chosen
 
 
 def in_window(stamp: Column, start: Column, end: Column) -> Column:

@@ -32,14 +32,15 @@ EPOCH_STAMP = r":(\d{10}):"
 DATED_STAMP = r"(?:{months})\s+\d{{1,2}}\s+\d{{4}},\s+\d{{2}}:\d{{2}}:\d{{2}}"
 YEARLESS_STAMP = r"(?:{months})\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}"
 COMMAND_STAMP = (
-    rf"(?i:{ALL_MONTHS})  [ \t]*\d{{1,4}} [ \t]*\d{{1,4}}, (?i:{WEEKDAYS}), "
-    r"[ \t]*\d{1,4}:[ \t]*\d{1,4}:[ \t]*\d{1,4}"
+    rf"(?i:{ALL_MONTHS})  [ \t]*\d+ [ \t]*\d+, (?i:{WEEKDAYS}), "
+    r"[ \t]*\d+:[ \t]*\d+:[ \t]*\d+"
 )
 STARTED = "Started at"
 ENDED = "Ended at"
 ARROW = ">>>>>>"
 
 EPOCH_YEAR = 1970
+MAX_SECONDS = 10**12  # what an interval of seconds may hold
 LEAP_YEAR = 2000  # keeps February 29 until the real year is known
 _MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -73,15 +74,18 @@ def _wall_clock(
     year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column
 ) -> Column:
     zero = F.lit(0)
-    month_start = F.make_timestamp_ntz(year, month, F.lit(1), zero, zero, zero)
-    return month_start + F.make_dt_interval(day - 1, hour, minute, second)
+    month_start = F.try_make_timestamp_ntz(year.cast("int"), month, F.lit(1), zero, zero, zero)
+    # Days are counted in seconds like the rest; a sum beyond all times is NULL.
+    seconds = ((day - 1) * 24 + hour) * 3600 + minute * 60 + second
+    shift = F.when(F.abs(seconds) < MAX_SECONDS, seconds).cast("decimal(18,6)")
+    return F.try_add(month_start, F.make_dt_interval(zero, zero, zero, shift))
 
 
 def _from_fields(text: Column, build: Callable[[Column, Callable[[int], Column]], Column]) -> Column:
     """Split a stamp into its fields once and build the time from them."""
     fields = F.split(text, r"[\s,:]+")
     one = F.transform(
-        F.array(fields), lambda parts: build(parts, lambda i: F.get(parts, F.lit(i)).cast("int"))
+        F.array(fields), lambda parts: build(parts, lambda i: F.get(parts, F.lit(i)).try_cast("int").cast("bigint"))
     )
     return F.get(one, F.lit(0))
 

@@ -1,4 +1,4 @@
-"""Names shared by every module: layers, columns, options and size limits."""
+"""Names shared by every module: layers, columns, options and limits."""
 
 from __future__ import annotations
 
@@ -30,11 +30,6 @@ ERROR_COLUMNS = ("source_dir", "node", "layer", "path", *POSITION, "event_ts", "
 # Lines per chunk when bracket state is tracked: 2 ** CHUNK_BITS at most.
 CHUNK_BITS = 16
 
-# A small table is broadcast only when it is known to hold no more rows than
-# this (some 200 bytes each); beyond it the join is salted instead.
-BROADCAST_ROWS = 100_000
-SALTS = 256
-
 
 @dataclass(frozen=True)
 class Options:

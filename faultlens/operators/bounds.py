@@ -11,7 +11,6 @@ from faultlens.functions.names import node_of
 from faultlens.functions.rules import is_command_end, is_command_start
 from faultlens.functions.stamps import ENDED, STARTED, command_ts
 from faultlens.model import DEFAULT_COMMAND, MARKER_LOG
-from faultlens.runtime import join_small
 
 
 def wall_clock(as_of: datetime | str | None) -> Column:
@@ -91,15 +90,14 @@ def with_bounds(
     lines: DataFrame,
     bounds: DataFrame,
     as_of: datetime | str | None = None,
-    directories: int | None = None,
 ) -> DataFrame:
     """Add ``start_ts`` and ``end_ts`` of the line's directory to every line.
 
-    ``directories`` is a known bound on the number of directories; with it the
-    bounds are broadcast if they are few enough.
+    A plain join: Spark broadcasts the bounds if they are small when it comes to it,
+    and else splits a directory that holds a large share of the lines.
     """
     now = wall_clock(as_of)
     spans = bounds.select("source_dir", "start_ts", "end_ts")
-    return join_small(lines, spans, ["source_dir"], "left", directories).withColumns(
+    return lines.join(spans, ["source_dir"], "left").withColumns(
         {"start_ts": F.coalesce("start_ts", now), "end_ts": F.coalesce("end_ts", now)}
     )

@@ -13,8 +13,8 @@ from faultlens.functions.stamps import (
     project_yearless,
     yearless_ts,
 )
-from faultlens.model import CFGLOG, POOL, SYSLOG, TIMED_LAYERS, VIOCMD
-from faultlens.runtime import computed_once, join_small
+from faultlens.model import CFGLOG, POOL, SYSLOG, VIOCMD
+from faultlens.runtime import computed_once
 
 
 def _keep_in_window(lines: DataFrame, stamp: Column, start: Column, end: Column) -> DataFrame:
@@ -68,7 +68,6 @@ def in_command_span(
     errors: DataFrame,
     bounds: DataFrame,
     as_of: Column,
-    directories: int | None = None,
     infer_year: bool = False,
 ) -> DataFrame:
     """Of stamped error lines, those inside the span of the command.
@@ -79,17 +78,16 @@ def in_command_span(
     year-less stamp counts in whichever year of the span it fits.
     """
     if "source_dir" in bounds.columns:
-        key, known = ["source_dir", "layer"], directories
+        key = ["source_dir", "layer"]
     else:
-        key, known = ["layer"], 1
-    size = None if known is None else known * len(TIMED_LAYERS)
+        key = ["layer"]
     spans = layer_spans(bounds, infer_year)
 
     layer, stamp = F.col("layer"), F.col("event_ts")
     moved = as_of if infer_year else project_yearless(as_of)
     missing = F.when(layer == SYSLOG, moved).otherwise(as_of)
     start, end = F.col("span_start"), F.col("span_end")
-    bounded = join_small(errors, spans, key, "left", size).withColumns(
+    bounded = errors.join(spans, key, "left").withColumns(
         {"span_start": F.coalesce(start, missing), "span_end": F.coalesce(end, missing)}
     )
     if infer_year:

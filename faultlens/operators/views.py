@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.model import IOSCLI, LAYERS, POSITION
-from faultlens.runtime import join_small
 
 
 def error_matrix(errors: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -77,12 +76,16 @@ def ioscli_error_lines(errors: DataFrame) -> DataFrame:
     return errors_for_layer(errors, IOSCLI).select("node", "path", *POSITION, "line")
 
 
-def latest_log_per_pair(catalog: DataFrame) -> DataFrame:
-    """Of several logs of one node and layer, the one that comes last by path."""
-    return catalog.groupBy("node", "layer").agg(F.max("path").alias("path"))
+def latest_logs(catalog: DataFrame) -> DataFrame:
+    """Of several logs of one node and layer, the one processed last.
+
+    That is the one of the last directory in ``dir_index``, or where the catalogue has no
+    such column, and within a directory, the last by path.
+    """
+    last = ["dir_index", "path"] if "dir_index" in catalog.columns else ["path"]
+    return catalog.groupBy("node", "layer").agg(F.max_by("path", F.struct(*last)).alias("path"))
 
 
-def keep_latest_logs(lines: DataFrame, catalog: DataFrame, logs: int | None = None) -> DataFrame:
-    """Lines of the latest log of each node and layer; ``logs`` bounds their number."""
-    latest = latest_log_per_pair(catalog)
-    return join_small(lines, latest, ["node", "layer", "path"], "left_semi", logs)
+def keep_latest_logs(lines: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Lines of the log of each node and layer that was processed last."""
+    return lines.join(latest_logs(catalog), ["node", "layer", "path"], "left_semi")

@@ -19,9 +19,10 @@ from faultlens.model import (
     DEFAULT_COMMAND,
     ERROR_COLUMNS,
     IOSCLI,
-    LAYERS,
+    LINE_COLUMNS,
     POOL,
     SYSLOG,
+    TIMED_LAYERS,
     VIOCMD,
     Options,
 )
@@ -58,47 +59,65 @@ def windowed_errors(
     errors: DataFrame,
     bounds: DataFrame | Span,
     as_of: datetime | str | None,
-    directories: int | None,
     options: Options,
 ) -> DataFrame:
     """Stamped error lines inside the command span of their directory."""
     if isinstance(bounds, tuple):
         bounds = one_span(errors.sparkSession, *bounds)
-    inside = in_command_span(errors, bounds, wall_clock(as_of), directories, options.infer_year)
+    inside = in_command_span(errors, bounds, wall_clock(as_of), options.infer_year)
     return inside.select(*ERROR_COLUMNS)
 
 
+def assembled(
+    trace: DataFrame,
+    others: DataFrame,
+    command: str,
+    as_of: datetime | str | None,
+    bounds: DataFrame | Span | None,
+    catalog: DataFrame | None,
+    options: Options,
+) -> tuple[DataFrame, DataFrame | Span]:
+    """Errors of all layers, and the bounds used.
+
+    ``trace`` has the markers and error lines of the marker logs and command traces,
+    ``others`` the error lines of the other layers by rule alone. Tables
+    and files both end here.
+    """
+    if bounds is None:
+        bounds = command_bounds(trace, command, as_of, catalog, options.fix_noon)
+    stamped = stamp_errors(others, options)
+    errors = trace_errors(trace, command, options).unionByName(
+        windowed_errors(stamped, bounds, as_of, options)
+    )
+    return errors, bounds
+
+
 def dispatch_errors(
     lines: DataFrame,
     command: str = DEFAULT_COMMAND,
     as_of: datetime | str | None = None,
     bounds: DataFrame | Span | None = None,
     catalog: DataFrame | None = None,
-    directories: int | None = None,
     options: Options = Options(),
 ) -> DataFrame:
     """Error lines of every layer of a table of log lines, each by its own rule.
 
     Other layers yield nothing. Bounds may be given; otherwise they are found in
-    the marker logs. The marker logs are read once: their markers and error
-    lines serve the bounds and the brackets. The other layers are one pass. A
-    catalogue, if given, saves a pass to list the marker logs; ``directories``
-    is a known bound on their number.
+    the marker logs. One pass over the table keeps markers and lines that some rule
+    hits; they are written once, and bounds, brackets and windows read only
+    them. A catalogue, if given, saves a pass to list the marker logs.
     """
     layer, line = F.col("layer"), F.col("line")
     of_trace = (layer == IOSCLI) | is_marker_log(F.col("file_name"))
-    trace = pin(lines.filter(of_trace & is_trace_line(command, options)))
-    if bounds is None:
-        if catalog is None:
-            catalog = lines.filter(is_marker_log(F.col("file_name")))
-        bounds = command_bounds(trace, command, as_of, catalog, options.fix_noon)
-
     rules = error_rules(line, options.strict)
     del rules[IOSCLI]
-    others = stamp_errors(lines.filter(by_layer(layer, rules)), options)
-    return trace_errors(trace, command, options).unionByName(
-        windowed_errors(others, bounds, as_of, directories, options)
-    )
+    hit = by_layer(layer, rules)
+    wanted = (of_trace & is_trace_line(command, options)) | hit
+    if bounds is None and catalog is None:
+        catalog = lines.filter(is_marker_log(F.col("file_name")))
+    hits = pin(lines.filter(wanted).select(*LINE_COLUMNS), compact=True)
+    trace = hits.filter(of_trace & is_trace_line(command, options))
+    return assembled(trace, hits.filter(hit), command, as_of, bounds, catalog, options)[0]
 
 
 def analyze_layer(
@@ -107,21 +126,20 @@ def analyze_layer(
     command: str = DEFAULT_COMMAND,
     as_of: datetime | str | None = None,
     bounds: DataFrame | Span | None = None,
-    directories: int | None = None,
     options: Options = Options(),
 ) -> DataFrame:
     """Error lines of one layer; only what that layer needs is computed."""
-    if layer not in LAYERS:
-        return dispatch_errors(lines.filter(F.lit(False)), command, as_of, bounds)
     if layer == IOSCLI:
-        return trace_errors(lines, command, options)
-    rule = error_rules(F.col("line"), options.strict)[layer]
+        trace = lines.filter((F.col("layer") == IOSCLI) & is_trace_line(command, options))
+        return trace_errors(pin(trace.select(*LINE_COLUMNS), compact=True), command, options)
+    rules = error_rules(F.col("line"), options.strict)
+    rule = rules.get(layer, F.lit(False))
     errors = stamp_errors(lines.filter((F.col("layer") == layer) & rule), options)
-    if layer == CFGLOG:
+    if layer not in TIMED_LAYERS:
         return errors.select(*ERROR_COLUMNS)
     if bounds is None:
         bounds = command_bounds(lines, command, as_of, fix_noon=options.fix_noon)
-    return windowed_errors(errors, bounds, as_of, directories, options)
+    return windowed_errors(errors, bounds, as_of, options)
 
 
 def analyze_ioscli(lines: DataFrame, command: str = DEFAULT_COMMAND, **more) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from faultlens.functions.rules import IOSCLI_ERROR, POOL_ERROR, VIOCMD_ERROR
-from faultlens.functions.stamps import LINE_MONTHS
-from faultlens.plans.registry import AS_OF, SPAN
-
-_START, _END = (f"TIMESTAMP '{bound}'" for bound in SPAN)
-_AS_OF = f"TIMESTAMP '{AS_OF}'"
+# Written out here on purpose: a wrong constant in the library must not be wrong on
+# both sides.
+_START, _END = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"
+_AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
+_MONTHS = "Jan|Feb|March|April|May|June|July|Aug|Sep|Oct|Nov|Dec"
 
 _EVENT_LINES = """
 rendered AS (
@@ -31,6 +30,12 @@ log_lines AS (
       ELSE 'cfg ' || CASE WHEN failed THEN 'Error' ELSE 'ok' END END AS line
   FROM rendered)"""
 
+# The command of a run: its end is marked late, and on the last node never.
+_RUN_LINES = _EVENT_LINES.replace(
+    "WHEN 'purchase' THEN",
+    "WHEN CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' AND node <> 'node4' THEN 'purchase' END THEN",
+)
+
 _ORDER_LINES = """
 moments AS (
   SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS moment FROM orders),
@@ -40,8 +45,8 @@ log_lines AS (
       ELSE strftime(moment, '%B %-d %Y, %H:%M:%S') END || ' vio rc 11' AS line
   FROM moments)"""
 
-_DATED = rf"({LINE_MONTHS})\s+(\d{{1,2}})\s+(\d{{4}}),\s+(\d{{2}}):(\d{{2}}):(\d{{2}})"
-_YEARLESS = rf"({LINE_MONTHS})\s+(\d{{1,2}})\s+(\d{{2}}):(\d{{2}}):(\d{{2}})"
+_DATED = rf"({_MONTHS})\s+(\d{{1,2}})\s+(\d{{4}}),\s+(\d{{2}}):(\d{{2}}):(\d{{2}})"
+_YEARLESS = rf"({_MONTHS})\s+(\d{{1,2}})\s+(\d{{2}}):(\d{{2}}):(\d{{2}})"
 _COMMAND = r"^ (\w+)  +(\d+) +(\d+), \w+, +(\d+):(\d+):(\d+)"
 
 
@@ -125,9 +130,9 @@ tracked AS (
 inside AS (SELECT * FROM tracked WHERE turned_on IS NULL AND opened)"""
 
 _RULES = {
-    "ioscli_global.trace": f"regexp_matches(line, '{IOSCLI_ERROR}')",
-    "pool.log": f"regexp_matches(line, '{POOL_ERROR}')",
-    "vioCmd.log": f"regexp_matches(line, '{VIOCMD_ERROR}')",
+    "ioscli_global.trace": r"regexp_matches(line, 'rc\s+=\s+[^0]\d+')",
+    "pool.log": r"regexp_matches(line, 'rc=[^0]\s+')",
+    "vioCmd.log": r"regexp_matches(line, 'rc\s+[^0]\d+')",
     "syslog.caa": "contains(line, 'caa:err')",
     "cfglog": "contains(line, 'Error')",
 }
@@ -156,7 +161,7 @@ errors AS (
 _ON_EVENTS = f"WITH {_EVENT_LINES}"
 _ON_ORDERS = f"WITH {_ORDER_LINES}"
 _ON_ERRORS = f"WITH {_EVENT_LINES}, {_WIDE_BOUNDS}, {_ERRORS}"
-_ON_RUN = f"WITH {_EVENT_LINES}, {_BOUNDS}, {_ERRORS}"
+_ON_RUN = f"WITH {_RUN_LINES}, {_BOUNDS}, {_ERRORS}"
 
 _ZERO_FILLED = """
 matrix AS (
@@ -214,9 +219,20 @@ def _layer_query(layer: str) -> str:
     return _error_query(f"layer = '{layer}'")
 
 
+_NUMBERED = (
+    f"{_ON_RUN} SELECT node, layer, row_number() OVER (PARTITION BY node, layer ORDER BY row_id)"
+    " AS nth, line FROM errors"
+)
+
 ORACLES: dict[str, str] = {
-    "scan_log_lines": f"{_ON_EVENTS} SELECT node, layer, line FROM log_lines",
-    "log_catalog": f"{_ON_EVENTS} SELECT DISTINCT path AS file_name, node, layer FROM log_lines",
+    "scan_log_lines": (
+        f"{_ON_EVENTS} SELECT node, layer, row_number() OVER (PARTITION BY path ORDER BY row_id)"
+        " AS line_number, line FROM log_lines"
+    ),
+    "log_catalog": (
+        f"{_ON_EVENTS} SELECT path AS file_name, node, layer, CAST(CASE WHEN path = 'cfglog.node1'"
+        " THEN 0 ELSE sum(strlen(line) + 1) END AS BIGINT) AS size FROM log_lines GROUP BY path, node, layer"
+    ),
     "read_dir_list": f"{_ON_EVENTS} SELECT DISTINCT source_dir FROM log_lines",
     "derive_node": f"{_NAMES} SELECT event_id, file_name, node FROM nodes",
     "derive_layer": (
@@ -264,11 +280,11 @@ ORACLES: dict[str, str] = {
           SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS moment FROM orders)
         SELECT o_orderkey, {_text(_projected("moment"))} AS projected FROM moments""",
     "command_bounds": (
-        f"WITH {_EVENT_LINES}, {_BOUNDS} SELECT source_dir, node, command,"
+        f"WITH {_RUN_LINES}, {_BOUNDS} SELECT source_dir, node, command,"
         f" {_text('start_ts')} AS start_ts, {_text('end_ts')} AS end_ts FROM bounds"
     ),
     "lines_with_bounds": (
-        f"WITH {_EVENT_LINES}, {_BOUNDS} SELECT log_lines.node, layer, row_id,"
+        f"WITH {_RUN_LINES}, {_BOUNDS} SELECT log_lines.node, layer, row_id,"
         f" {_text('start_ts')} AS start_ts, {_text('end_ts')} AS end_ts, line"
         " FROM log_lines LEFT JOIN bounds USING (source_dir)"
     ),
@@ -279,19 +295,20 @@ ORACLES: dict[str, str] = {
     "analyze_syslog": _layer_query("syslog.caa"),
     "analyze_cfglog": _layer_query("cfglog"),
     "dispatch_errors": _error_query(),
+    "dispatch_errors_in_run": (
+        f"{_ON_RUN} SELECT node, layer, row_id, {_text('event_ts')} AS event_ts, line FROM errors"
+    ),
     "errors_for_node": _error_query("node = 'node1'"),
     "errors_for_layer": _error_query("layer = 'pool.log'"),
-    "errors_by_node": (
-        f"{_ON_ERRORS} SELECT layer, count(*) AS errors FROM errors"
-        " WHERE node = 'node1' GROUP BY layer"
-    ),
-    "errors_by_layer": (
-        f"{_ON_ERRORS} SELECT node, count(*) AS errors FROM errors"
-        " WHERE layer = 'cfglog' GROUP BY node"
-    ),
+    "errors_by_node": f"{_ON_RUN}, {_ZERO_FILLED} SELECT layer, errors FROM matrix WHERE node = 'node4'",
+    "errors_by_layer": f"{_ON_RUN}, {_ZERO_FILLED} SELECT node, errors FROM matrix WHERE layer = 'syslog.caa'",
     "error_matrix": f"{_ON_ERRORS}, {_MATRIX} SELECT node, layer, errors FROM matrix",
     "error_matrix_zero_filled": f"{_ON_RUN}, {_ZERO_FILLED} SELECT node, layer, errors FROM matrix",
-    "count_report": f"{_ON_ERRORS}, {_MATRIX} {_REPORT}",
+    "count_report": f"{_ON_RUN}, {_ZERO_FILLED} {_REPORT}",
+    "count_report_written": (
+        f"{_ON_RUN}, {_ZERO_FILLED}, report AS ({_REPORT}) SELECT view, heading, report_line FROM report"
+    ),
+    "error_details_written": _NUMBERED,
     "error_details": (
         f"{_ON_ERRORS} SELECT upper(node) AS heading, node, layer, row_id,"
         f" {_text('event_ts')} AS event_ts, line FROM errors"
@@ -307,4 +324,9 @@ ORACLES: dict[str, str] = {
         + " OR ".join(map(_rule_errors, _RULES))
     ),
     "full_run": f"{_ON_RUN}, {_ZERO_FILLED} {_REPORT}",
+    "full_run_table": f"{_ON_RUN}, {_ZERO_FILLED} {_REPORT}",
+    "full_run_details": _NUMBERED,
+    "full_run_persisted": (
+        f"{_ON_RUN} SELECT node, layer, line, count(*) OVER (PARTITION BY node, layer) AS of_pair FROM errors"
+    ),
 }

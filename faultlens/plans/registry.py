@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.names import layer_of, node_of
@@ -31,15 +31,14 @@ from faultlens.operators import timed, views
 from faultlens.operators.bounds import command_bounds, wall_clock, with_bounds
 from faultlens.operators.brackets import within_command
 from faultlens.plans import layers
+from faultlens.plans.report import FaultReport, analyze_conf
 from faultlens.runtime import new_shared_path, pin
 from faultlens.sources import logs, sinks
 from faultlens.sources.tables import (
-    LOGS,
-    NODES,
     event_catalog,
     event_log_lines,
+    latest_run_lines,
     order_log_lines,
-    table_catalog,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +47,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPAN = ("2024-01-05 00:00:00", "2024-01-20 00:00:00")
 AS_OF = "2024-02-01 00:00:00"
 
+# Lines per chunk of the bracket query: several chunks in each log.
+BRACKET_CHUNK_BITS = 8
+
+
 def as_text(stamp: str | Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")
 
@@ -67,17 +70,49 @@ def _of_layer(spark: SparkSession, sf_dir: str, layer: str) -> DataFrame:
 # Sources
 
 
+def _rendered(lines: DataFrame) -> tuple[str, str]:
+    """Write lines as log directories; the root, and a file that lists the directories."""
+    spark = lines.sparkSession
+    root, conf = (new_shared_path(spark, name) for name in ("logs", "dir-list"))
+    sinks.write_log_dirs(lines, root)
+    listed = F.concat(F.lit(f"{root}/source_dir="), "source_dir").alias("value")
+    lines.select(listed).distinct().write.text(conf)
+    return root, conf
+
+
+def _listed(spark: SparkSession, conf: str) -> list[str]:
+    return [row.source_dir for row in logs.read_dir_list(spark, conf).collect()]
+
+
 def scan_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = new_shared_path(spark, "log-lines")
-    sinks.write_log_dirs(event_log_lines(spark, sf_dir), root)
-    return logs.scan_log_lines(logs.open_logs(spark, [root])).select("node", "layer", "line")
+    """Lines written in many parts and scanned; their order is told by what is before them."""
+    lines = event_log_lines(spark, sf_dir).repartition(8)
+    _, conf = _rendered(lines)
+    dirs = _listed(spark, conf)
+    own = [logs.qualified(spark, path) for path in dirs]
+    found = pin(logs.scan_log_lines(logs.open_logs(spark, dirs), dirs=own))
+    order = Window.partitionBy("path", "part", "block_start").orderBy("row_id")
+    # Numbers inside a split, on top of the lines of the splits before it.
+    splits = found.groupBy("path", "part", "block_start").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("part", "block_start")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    numbered = found.withColumn("nth", F.row_number().over(order))
+    numbered = numbered.join(splits.drop("n"), ["path", "part", "block_start"])
+    return numbered.select("node", "layer", (F.col("nth") + F.col("before")).alias("line_number"), "line")
 
 
 def log_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = new_shared_path(spark, "log-catalog")
-    found = event_catalog(spark, sf_dir)
-    sinks.write_log_dirs(found.withColumn("line", F.col("path")), root)
-    return logs.log_catalog(spark, [root]).select("file_name", "node", "layer")
+    """Logs with sizes, one of them empty, beside a nested backup that does not count."""
+    lines = event_log_lines(spark, sf_dir).filter("path <> 'cfglog.node1'")
+    root, conf = _rendered(lines)
+    node = f"{root}/source_dir=node1"
+    nothing = spark.createDataFrame([], "value string")
+    nothing.coalesce(1).write.text(f"{node}/log=cfglog.node1")
+    backup = lines.filter("path = 'pool.log.node1'").select(F.col("line").alias("value"))
+    backup.write.text(f"{node}/old/log=pool.log.node1")
+    found = logs.log_catalog(spark, _listed(spark, conf))
+    return found.select("file_name", "node", "layer", "size")
 
 
 def read_dir_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +246,7 @@ def project_yearless_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_bounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = command_bounds(event_log_lines(spark, sf_dir), as_of=AS_OF)
+    bounds = command_bounds(event_log_lines(spark, sf_dir, True), as_of=AS_OF)
     return bounds.select(
         "source_dir",
         "node",
@@ -222,15 +257,16 @@ def command_bounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_with_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_log_lines(spark, sf_dir)
-    bounded = with_bounds(lines, command_bounds(lines, as_of=AS_OF), AS_OF, NODES)
+    lines = event_log_lines(spark, sf_dir, True)
+    bounded = with_bounds(lines, command_bounds(lines, as_of=AS_OF), AS_OF)
     return _rows(
         bounded, as_text("start_ts").alias("start_ts"), as_text("end_ts").alias("end_ts")
     )
 
 
 def within_command_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(within_command(_of_layer(spark, sf_dir, IOSCLI)))
+    lines = pin(_of_layer(spark, sf_dir, IOSCLI))
+    return _rows(within_command(lines, chunk_bits=BRACKET_CHUNK_BITS))
 
 
 # Error lines
@@ -250,30 +286,46 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Errors within the spans found in the logs themselves, and the logs."""
-    lines = event_log_lines(spark, sf_dir)
-    catalog = pin(event_catalog(spark, sf_dir))
-    errors = layers.dispatch_errors(lines, as_of=AS_OF, catalog=catalog, directories=NODES)
-    return errors, catalog
+    lines = event_log_lines(spark, sf_dir, True)
+    catalog = event_catalog(spark, sf_dir)
+    return layers.dispatch_errors(lines, as_of=AS_OF, catalog=catalog), catalog
+
+
+def _file_report(spark: SparkSession, sf_dir: str) -> FaultReport:
+    """The whole run over files: lines written out of order in many parts, a directory list."""
+    lines = event_log_lines(spark, sf_dir, True).repartition(8)
+    _, conf = _rendered(lines)
+    return analyze_conf(spark, conf, as_of=AS_OF)
 
 
 def dispatch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(_errors(spark, sf_dir))
 
 
+def dispatch_errors_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stamped(_run_errors(spark, sf_dir)[0])
+
+
 def errors_for_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(views.errors_for_node(_errors(spark, sf_dir), "node1"))
 
 
 def errors_for_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stamped(views.errors_for_layer(_errors(spark, sf_dir), POOL))
+    """A lookup by layer asks for that layer alone."""
+    lines = event_log_lines(spark, sf_dir)
+    return _stamped(views.errors_for_layer(layers.analyze_layer(lines, POOL, bounds=SPAN), POOL))
 
 
 def errors_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.errors_by_node(_errors(spark, sf_dir), "node1")
+    errors, catalog = _run_errors(spark, sf_dir)
+    return views.errors_by_node(errors, "node4", catalog)
 
 
 def errors_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.errors_by_layer(_errors(spark, sf_dir), CFGLOG)
+    """Errors per node of the system log, nodes without any included."""
+    lines = event_log_lines(spark, sf_dir, True)
+    errors = layers.analyze_layer(lines, SYSLOG, as_of=AS_OF)
+    return views.errors_by_layer(errors, SYSLOG, event_catalog(spark, sf_dir))
 
 
 def error_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +337,14 @@ def error_matrix_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.count_report(views.error_matrix(_errors(spark, sf_dir)))
+    return views.count_report(views.error_matrix(*_run_errors(spark, sf_dir)))
+
+
+def count_report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it stands in the files of a run."""
+    out = new_shared_path(spark, "report")
+    sinks.write_count_report(views.error_matrix(*_run_errors(spark, sf_dir)), out)
+    return spark.read.text(out).select("view", "heading", F.col("value").alias("report_line"))
 
 
 def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,27 +354,58 @@ def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def error_details_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error lines written as text and read back, numbered as they stand in the files."""
+    out = new_shared_path(spark, "details")
+    sinks.write_error_details(_run_errors(spark, sf_dir)[0], out, "text")
+    read = spark.read.text(out).select(
+        "node",
+        "layer",
+        logs.part_key(F.col("_metadata.file_name")).alias("part"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("value").alias("line"),
+    )
+    order = Window.partitionBy("node", "layer").orderBy("part", "block_start", "row_id")
+    return pin(read).withColumn("nth", F.row_number().over(order)).select("node", "layer", "nth", "line")
+
+
 def ioscli_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.ioscli_error_lines(_errors(spark, sf_dir))
+    lines = event_log_lines(spark, sf_dir)
+    found = views.ioscli_error_lines(layers.analyze_layer(lines, IOSCLI))
     return found.select("node", "row_id", "line")
 
 
 def latest_file_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error lines by rule alone, of logs spread over the directories of three runs."""
-    run = F.concat(F.lit("run"), (F.col("row_id") % 3 + 1).cast("string"))
-    lines = event_log_lines(spark, sf_dir).withColumns(
-        {"source_dir": run, "path": F.concat_ws("/", run, "path")}
-    )
-    errors = lines.filter(by_layer(F.col("layer"), error_rules(F.col("line"))))
-    latest = views.keep_latest_logs(errors, table_catalog(lines), 3 * LOGS)
-    return _rows(latest, "path")
+    """Error lines by rule alone, of the latest of the logs in the directories of three runs."""
+    lines = latest_run_lines(spark, sf_dir, views.latest_logs)
+    return _rows(lines.filter(by_layer(F.col("layer"), error_rules(F.col("line")))), "path")
 
 
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: spans from the logs, errors of all layers, both views."""
+    """The flagship: a run over log files, from the list of directories to both views."""
+    return _file_report(spark, sf_dir).counts()
+
+
+def full_run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of lines."""
     return views.count_report(views.error_matrix(*_run_errors(spark, sf_dir)))
 
 
+def full_run_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error lines of the run over log files, each pair numbered in line order."""
+    details = _file_report(spark, sf_dir).details()
+    order = Window.partitionBy("node", "layer").orderBy("path", "part", "block_start", "row_id")
+    return details.withColumn("nth", F.row_number().over(order)).select("node", "layer", "nth", "line")
+
+
+def full_run_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors kept once and used twice: the lines of each layer beside their count."""
+    report = _file_report(spark, sf_dir).persist()
+    counts = report.matrix().withColumnRenamed("errors", "of_pair")
+    return report.details().select("node", "layer", "line").join(counts, ["node", "layer"])
+
+
 QUERIES: dict[str, Query] = {
     "scan_log_lines": scan_log_lines,
     "log_catalog": log_catalog,
@@ -348,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "analyze_syslog": _layer_query(SYSLOG),
     "analyze_cfglog": _layer_query(CFGLOG),
     "dispatch_errors": dispatch_errors,
+    "dispatch_errors_in_run": dispatch_errors_in_run,
     "errors_for_node": errors_for_node,
     "errors_for_layer": errors_for_layer,
     "errors_by_node": errors_by_node,
@@ -355,8 +446,13 @@ QUERIES: dict[str, Query] = {
     "error_matrix": error_matrix,
     "error_matrix_zero_filled": error_matrix_zero_filled,
     "count_report": count_report,
+    "count_report_written": count_report_written,
     "error_details": error_details,
+    "error_details_written": error_details_written,
     "ioscli_error_lines": ioscli_error_lines,
     "latest_file_per_pair": latest_file_per_pair,
     "full_run": full_run,
+    "full_run_table": full_run_table,
+    "full_run_details": full_run_details,
+    "full_run_persisted": full_run_persisted,
 }

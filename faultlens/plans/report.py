@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from faultlens.functions.rules import error_rules
 from faultlens.model import DEFAULT_COMMAND, IOSCLI, LAYERS, Options
 from faultlens.operators import views
-from faultlens.operators.bounds import command_bounds, is_marker_log
-from faultlens.plans.layers import is_trace_line, stamp_errors, trace_errors, windowed_errors
-from faultlens.runtime import pin
-from faultlens.sources.logs import catalog_of, open_logs, read_dir_list, scan_log_lines
+from faultlens.operators.bounds import is_marker_log
+from faultlens.plans.layers import assembled, is_trace_line
+from faultlens.runtime import pin, pinned, release
+from faultlens.sources.logs import catalog_of, open_logs, qualified, read_dir_list, scan_log_lines
 from faultlens.sources.sinks import write_count_report, write_error_details
 
 
@@ -29,6 +29,8 @@ class FaultReport:
     errors: DataFrame
     catalog: DataFrame
     bounds: DataFrame
+    # Copies in the shared folder that were there before this report's.
+    mark: int | None = None
 
     def matrix(self) -> DataFrame:
         """Errors per node and layer, zeros included."""
@@ -63,6 +65,12 @@ class FaultReport:
     def unpersist(self) -> None:
         self.errors.unpersist()
 
+    def close(self) -> None:
+        """Drop kept errors and what the run has written to the shared folder."""
+        self.unpersist()
+        if self.mark is not None:
+            release(self.errors.sparkSession, self.mark)
+
 
 def _now(spark: SparkSession) -> str:
     """The wall clock of the session, taken once so that a run has one "now"."""
@@ -77,50 +85,58 @@ def analyze_directories(
     as_of: datetime | str | None = None,
     on_duplicate: str = "union",
     options: Options = Options(),
+    nested: bool = False,
 ) -> FaultReport:
-    """Find the errors of all logs below the given directories.
+    """Find the errors of all logs in the given directories.
 
-    The directories are listed once and every log file is read once, by the
-    branch of its layer, which tests that layer's rule alone; files of unknown
-    layers are not opened. From the command traces, markers and error lines are
-    written to the shared folder, as bounds and brackets both need them.
+    Logs are files directly in a directory, or directories of part files there;
+    ``nested`` takes those further below as well. The directories are listed once
+    and every log file is read once, by the branch of its layer, which tests that
+    layer's rule alone; files of unknown layers are not opened. From the command
+    traces, markers and error lines are written to the shared folder, as bounds and
+    brackets both need them; they stay until :meth:`FaultReport.close`.
 
-    ``on_duplicate``: ``union`` of all logs of one node and layer, or the
-    ``last`` one by path.
+    ``on_duplicate``: ``union`` of all logs of one node and layer, or the ``last``
+    one in the order of the directories; the others are then not opened.
     """
     if on_duplicate not in ("union", "last"):
         raise ValueError(f"on_duplicate: {on_duplicate!r}")
     as_of = as_of or _now(spark)
+    mark = pinned()
+    dirs = list(dict.fromkeys(dirs))
+    own = None if nested else [qualified(spark, path) for path in dirs]
     logs = open_logs(spark, dirs)
-    files = logs.inputFiles()
-    catalog = catalog_of(spark, files, options.suffix_only)
-    # No more sources than folders with files in them.
-    folders = len({file.rpartition("/")[0] for file in files})
-
-    trace = pin(
-        scan_log_lines(
-            logs,
-            layers=[IOSCLI],
-            which=is_marker_log(F.col("file_name")),
-            where=is_trace_line(command, options),
-            suffix_only=options.suffix_only,
-        )
-    )
-    bounds = command_bounds(trace, command, as_of, catalog, options.fix_noon)
+    catalog = catalog_of(spark, logs.inputFiles(), options.suffix_only, own)
+    chosen = None
+    if on_duplicate == "last":
+        places = [qualified(spark, path) for path in dirs]
+        index = spark.createDataFrame(list(enumerate(places)), "dir_index int, listed string")
+        inside = F.startswith(F.concat("source_dir", F.lit("/")), F.concat("listed", F.lit("/")))
+        if nested:
+            placed = catalog.join(index, inside, "left")
+        else:
+            placed = catalog.join(index, F.col("source_dir") == F.col("listed"), "left")
+        # One path per node and layer, known before a log is opened.
+        rows = views.latest_logs(placed.filter(F.col("layer").isin(*LAYERS))).collect()
+        chosen = F.col("path").isin(*(row.path for row in rows))
+
+    def scan(layers: list[str], **more) -> DataFrame:
+        return scan_log_lines(logs, layers, suffix_only=options.suffix_only, dirs=own, **more)
 
     rules = error_rules(F.col("line"), options.strict)
-    scans = [
-        scan_log_lines(logs, [layer], where=rules[layer], suffix_only=options.suffix_only)
-        for layer in LAYERS
-        if layer != IOSCLI
-    ]
-    others = stamp_errors(reduce(DataFrame.unionByName, scans), options)
-    errors = trace_errors(trace, command, options).unionByName(
-        windowed_errors(others, bounds, as_of, folders, options)
+    trace = scan([IOSCLI], which=is_marker_log(F.col("file_name")), where=is_trace_line(command, options))
+    others = [scan([layer], where=rules[layer]) for layer in LAYERS if layer != IOSCLI]
+    if chosen is not None:
+        # Bounds still come from every marker log, as each directory has its own.
+        others = [lines.filter(chosen) for lines in others]
+    trace = pin(trace, compact=True)
+    errors, bounds = assembled(
+        trace, reduce(DataFrame.unionByName, others), command, as_of, None, catalog, options
     )
-    if on_duplicate == "last":
-        errors = views.keep_latest_logs(errors, catalog, len(files))
-    return FaultReport(errors, catalog, bounds)
+    if chosen is not None:
+        errors = errors.filter(chosen)
+        catalog = catalog.filter(chosen)
+    return FaultReport(errors, catalog, bounds, mark)
 
 
 def analyze_conf(spark: SparkSession, conf: str, **more) -> FaultReport:

@@ -1,4 +1,4 @@
-"""Shared storage for intermediate results, and size-checked joins."""
+"""Shared storage for intermediate results."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.model import BROADCAST_ROWS, SALTS
-
 _PINNED: list[str] = []
 
 
@@ -34,15 +32,18 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, compact: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there afterwards.
 
     Used where several later steps read the same rows: they see the same line
     positions, the input is not scanned again, and losing executors loses nothing.
     The copy is parquet, so readers take only the columns they need. It stays until
-    :func:`release`.
+    :func:`release`. ``compact`` is for the few rows a filter leaves: they are
+    gathered into files of the advised partition size, however many splits were read.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.hint("rebalance")
     path = new_shared_path(spark, "pin")
     df.write.parquet(path)
     _PINNED.append(path)
@@ -70,21 +71,3 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     one that gives a single row.
     """
     return df.withColumn(name, value).withColumn(name, F.explode(F.array(name)))
-
-
-def join_small(
-    lines: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None
-) -> DataFrame:
-    """Join lines with a small table; ``rows`` is a known bound on its size.
-
-    Without a bound, or above the limit, both sides are shuffled on the key and
-    a salt, so that a key holding a large share of the lines is spread out.
-    """
-    if rows is not None and rows <= BROADCAST_ROWS:
-        return lines.join(F.broadcast(small), on, how)
-    first, last = (F.lit(n).cast("bigint") for n in (0, SALTS - 1))
-    salted = small.withColumn("_salt", F.explode(F.sequence(first, last)))
-    spread = lines.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-    # The hint keeps the planner from a broadcast: it does not see how often the
-    # small side was repeated.
-    return spread.join(salted.hint("merge"), [*on, "_salt"], how).drop("_salt")

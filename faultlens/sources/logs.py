@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from faultlens.model import LINE_COLUMNS
 # them; such a directory may be named ``column=log``. Groups: source, log, part.
 LOG_PATH = r"(?s)^(.*)/(?:[^/=]*=(?=[^/]*/part-))?((?!part-)[^/]+)(?:/(part-[^/]*))?$"
 PART_FILE = r"/part-[^/]*$"
+PART_NUMBER = r"^part-(?:[a-z]-)?(\d+)"
 
 
 def read_dir_list(spark: SparkSession, conf: str | list[str]) -> DataFrame:
@@ -21,21 +23,44 @@ def read_dir_list(spark: SparkSession, conf: str | list[str]) -> DataFrame:
     return spark.read.text(conf).select(F.col("value").alias("source_dir")).filter("source_dir != ''")
 
 
+def part_key(part: Column) -> Column:
+    """The name of a part file with its number in front, so that text order is line order.
+
+    Writers pad numbers to five digits; beyond that ``part-100000`` would sort
+    before ``part-99999``. Numbers are compared by their count of digits, then by digits.
+    """
+    number = F.ltrim(F.regexp_extract(part, PART_NUMBER, 1), F.lit("0"))
+    return F.concat_ws(" ", F.lpad(F.length(number).cast("string"), 3, "0"), number, part)
+
+
 def _log_parts(file_path: Column, suffix_only: bool) -> dict[str, Column]:
     """What a file's path, as file metadata spells it, says about its log."""
     # Blanks and the like are spelled %xx, but "+" is left alone.
     path = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
     name = F.regexp_extract(path, LOG_PATH, 2)
+    part = F.regexp_extract(path, LOG_PATH, 3)
     return {
         "source_dir": F.regexp_extract(path, LOG_PATH, 1),
         "path": F.regexp_replace(path, PART_FILE, ""),
         "file_name": name,
         "node": node_of(name),
         "layer": layer_of(name, suffix_only),
-        "part": F.regexp_extract(path, LOG_PATH, 3),
+        "part": F.when(part != "", part_key(part)).otherwise(""),
     }
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as file metadata spells it, decoded."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(conf).makeQualified(own).toString()
+
+
+def of_directories(dirs: Iterable[str]) -> Column:
+    """Whether a row's ``source_dir`` is one of the (qualified) directories themselves."""
+    return F.col("source_dir").isin(*dirs)
+
+
 def open_logs(spark: SparkSession, dirs: Iterable[str]) -> DataFrame:
     """The lines of all files below the directories, listed once, not yet read."""
     return spark.read.option("recursiveFileLookup", "true").text(list(dirs))
@@ -47,9 +72,13 @@ def scan_log_lines(
     where: Column | None = None,
     which: Column | None = None,
     suffix_only: bool = False,
+    dirs: Iterable[str] | None = None,
 ) -> DataFrame:
     """Lines of opened logs with node, layer and position.
 
+    ``dirs``: only logs that stand directly in one of these (qualified)
+    directories, not those of directories below them.
+
     ``layers`` and ``which`` (a condition on ``file_name``) select logs; files of
     other logs are not read. ``where`` is a condition on ``line``. It is tested
     first: the conditions on names hold for whole files and cost time per line.
@@ -68,6 +97,8 @@ def scan_log_lines(
         lines = lines.filter(F.col("layer").isin(*layers))
     elif which is not None:
         lines = lines.filter(which)
+    if dirs is not None:
+        lines = lines.filter(of_directories(dirs))
     position = {
         "block_start": F.col("_metadata.file_block_start"),
         "row_id": F.monotonically_increasing_id(),
@@ -76,35 +107,47 @@ def scan_log_lines(
 
 
 def catalog_of(
-    spark: SparkSession, files: Iterable[str], suffix_only: bool = False
+    spark: SparkSession,
+    files: Iterable[str],
+    suffix_only: bool = False,
+    dirs: Iterable[str] | None = None,
 ) -> DataFrame:
-    """One row per listed file, with the names of the log it belongs to."""
-    paths = spark.createDataFrame([(path,) for path in files], "file_path string")
+    """One row per log of a listing, with its names.
+
+    Part files are reduced to their logs before anything is made of them, so
+    what goes from the driver to the executors is one row per log. With ``dirs``, only
+    logs that stand directly in one of them.
+    """
+    logs = sorted({re.sub(PART_FILE, "/part-", path) for path in files})
+    paths = spark.createDataFrame([(path,) for path in logs], "file_path string")
     # A listing writes an absent host as file:///, file metadata as file:/.
     paths = paths.withColumn("file_path", F.replace("file_path", F.lit(":///"), F.lit(":/")))
     parts = _log_parts(F.col("file_path"), suffix_only)
     names = [value.alias(name) for name, value in parts.items() if name != "part"]
-    return paths.select("file_path", *names)
+    found = paths.select(*names)
+    return found if dirs is None else found.filter(of_directories(dirs))
 
 
 def log_catalog(
-    spark: SparkSession, dirs: Iterable[str], suffix_only: bool = False
+    spark: SparkSession, dirs: Iterable[str], suffix_only: bool = False, nested: bool = False
 ) -> DataFrame:
     """One row per log, empty ones included, with node, layer and size.
 
-    The files are those of Spark's own listing of the directories. Sizes come
-    from a scan of file metadata, which passes over empty files.
+    Logs are files directly in the directories, or directories of part files there;
+    ``nested`` takes those further below as well. One listing serves the names,
+    empty files included, and the sizes, which come from file metadata.
     """
     dirs = list(dirs)
-    files = catalog_of(spark, open_logs(spark, dirs).inputFiles(), suffix_only)
-    sizes = (
-        spark.read.option("recursiveFileLookup", "true")
-        .format("binaryFile")
-        .load(dirs)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("size"))
-    )
-    return (
-        files.join(sizes, "file_path", "left")
-        .groupBy("source_dir", "path", "file_name", "node", "layer")
-        .agg(F.coalesce(F.sum("size"), F.lit(0).cast("bigint")).alias("size"))
+    listed = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(dirs)
+    own = None if nested else [qualified(spark, path) for path in dirs]
+    logs = catalog_of(spark, listed.inputFiles(), suffix_only, own)
+    path = _log_parts(F.col("_metadata.file_path"), suffix_only)["path"]
+    sizes = listed.select(path.alias("path"), "length").groupBy("path").agg(F.sum("length").alias("size"))
+    return logs.join(sizes, "path", "left").select(
+        "source_dir",
+        "path",
+        "file_name",
+        "node",
+        "layer",
+        F.coalesce("size", F.lit(0).cast("bigint")).alias("size"),
     )

@@ -24,21 +24,28 @@ def write_count_report(matrix: DataFrame, path: str) -> None:
 
 
 def write_error_details(errors: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Write the error lines, a directory per node and layer, in line order per task.
+    """Write the error lines, a directory per node and layer, in line order.
 
-    Text output holds the lines alone.
+    Lines are dealt out in ranges of node, layer and position, so a pair is a few files,
+    whose numbers follow the lines, and a pair with most of the lines is several
+    tasks. Text output holds the lines alone.
     """
-    details = error_details(errors).drop("heading")
-    details = details.sortWithinPartitions("node", "layer", "path", *POSITION)
+    order = ["node", "layer", "path", *POSITION]
+    details = error_details(errors).drop("heading").repartitionByRange(*order)
+    details = details.sortWithinPartitions(*order)
     if file_format == "text":
         details = details.select("node", "layer", F.col("line").alias("value"))
     details.write.partitionBy("node", "layer").format(file_format).save(path)
 
 
 def write_log_dirs(lines: DataFrame, path: str) -> None:
-    """Write log lines as text: a directory per source and log, in part files."""
-    (
-        lines.select("source_dir", F.col("file_name").alias("log"), F.col("line").alias("value"))
-        .write.partitionBy("source_dir", "log")
-        .text(path)
-    )
+    """Write log lines as text: a directory per source and log, in part files.
+
+    The order of lines in a log is kept whatever the partitions of ``lines``: they
+    are dealt out in ranges of log and position, so the numbers of part files
+    follow the positions.
+    """
+    named = lines.select("source_dir", F.col("file_name").alias("log"), *POSITION, F.col("line").alias("value"))
+    order = ["source_dir", "log", *POSITION]
+    named = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    named.select("source_dir", "log", "value").write.partitionBy("source_dir", "log").text(path)

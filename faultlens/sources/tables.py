@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from faultlens.model import CFGLOG, IOSCLI, LINE_COLUMNS, POOL, SYSLOG, VIOCMD
 from faultlens.runtime import computed_once
 
 NODES = 4  # nodes in the rendered logs, and directories, as one belongs to each
-LOGS = 20  # five layers of four nodes
+RUNS = 3  # directories that hold a log of each node and layer in turn
 
+# In the lines of a long command, its end is not marked before this, and on the
+# last node not at all.
+LATE_END = "2024-01-16 00:00:00"
 
 CATALOG_COLUMNS = ("source_dir", "path", "file_name", "node", "layer")
 
@@ -51,13 +56,23 @@ def _named(events: DataFrame) -> DataFrame:
     return _log_names(events.withColumns({"node": node, "layer": layer}))
 
 
-def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log_lines(spark: SparkSession, sf_dir: str, long_command: bool = False) -> DataFrame:
     """One log line per event: five layers, four nodes, positions from the event id."""
+    events = _named(_events(spark, sf_dir)).withColumn("row_id", F.col("event_id"))
+    return _log_lines(events, _event_line(long_command))
+
+
+def _event_line(long_command: bool = False) -> Column:
+    """The text of an event's line. ``long_command``: first start and first end lie far apart."""
     ts, kind = F.col("ts"), F.col("event_type")
     failed = kind == "error"
     code = F.when(failed, 10 + F.col("event_id") % 89).otherwise(0).cast("string")
     command = F.date_format(ts, "MMM  dd yyyy, EEE, HH:mm:ss")
     midnight = F.unix_date(F.to_date(ts)).cast("bigint") * 86400
+    ends = kind == "purchase"
+    if long_command:
+        late = ts >= F.lit(LATE_END).cast("timestamp_ntz")
+        ends = ends & late & (F.col("node_number") < NODES - 1)
     epoch = (midnight + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)).cast("string")
     shapes = {
         POOL: F.concat(
@@ -66,7 +81,7 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         IOSCLI: F.when(
             kind == "signup", F.concat(F.lit("Command pv  Started at >>>>>> "), command)
         )
-        .when(kind == "purchase", F.concat(F.lit("Command pv Ended at >>>>>> "), command))
+        .when(ends, F.concat(F.lit("Command pv Ended at >>>>>> "), command))
         .otherwise(F.concat(F.lit("call rc = "), code)),
         VIOCMD: F.concat(F.date_format(ts, "MMM d yyyy, HH:mm:ss"), F.lit(" vio rc "), code),
         SYSLOG: F.concat(
@@ -77,8 +92,29 @@ def event_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         CFGLOG: F.concat(F.lit("cfg "), F.when(failed, "Error").otherwise("ok")),
     }
-    events = _named(_events(spark, sf_dir)).withColumn("row_id", F.col("event_id"))
-    return _log_lines(events, by_layer(F.col("layer"), shapes))
+    return by_layer(F.col("layer"), shapes)
+
+
+def latest_run_lines(
+    spark: SparkSession, sf_dir: str, latest: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Lines of logs spread over the directories of several runs, of the latest logs only.
+
+    The logs are told apart and chosen by numbers, before a line is rendered.
+    """
+    run = (F.col("event_id") % RUNS).alias("run_number")
+    keys = ["node_number", "layer_number", "run_number"]
+    events = _events(spark, sf_dir).select("*", run)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        source = F.concat(F.lit("run"), (F.col("run_number") + 1).cast("string"))
+        return _named(rows).withColumns({"source_dir": source, "path": F.concat_ws("/", source, "path")})
+
+    catalog = placed(events.select(*keys).distinct())
+    kept = catalog.select(*keys, "node", "layer", "path")
+    kept = kept.join(latest(catalog), ["node", "layer", "path"], "left_semi").select(*keys)
+    chosen = placed(events.join(kept, keys, "left_semi")).withColumn("row_id", F.col("event_id"))
+    return _log_lines(chosen, _event_line())
 
 
 def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +139,3 @@ def order_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("row_id"),
     )
     return _log_lines(_log_names(orders), F.concat(stamp, F.lit(" vio rc 11")))
-
-
-def table_catalog(lines: DataFrame) -> DataFrame:
-    """The logs that occur in a table of lines."""
-    return lines.select(*CATALOG_COLUMNS).distinct()

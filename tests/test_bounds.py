@@ -3,7 +3,6 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from faultlens.model import BROADCAST_ROWS
 from faultlens.operators.bounds import command_bounds, with_bounds
 
 AS_OF = "2020-01-01 00:00:00"
@@ -93,10 +92,9 @@ def test_now_stands_in_without_as_of(log_table):
     assert abs((now - found.end_ts).total_seconds()) < 600
 
 
-@pytest.mark.parametrize("directories", [None, 10, BROADCAST_ROWS + 1])
-def test_every_line_gets_the_bounds_of_its_directory(log_table, directories):
+def test_every_line_gets_the_bounds_of_its_directory(log_table):
     lines = log_table(LOGS)
-    found = with_bounds(lines, command_bounds(lines, as_of=AS_OF), AS_OF, directories)
+    found = with_bounds(lines, command_bounds(lines, as_of=AS_OF), AS_OF)
     rows = found.select("path", "source_dir", "row_id", "start_ts", "end_ts").collect()
     assert len(rows) == sum(map(len, LOGS.values()))
     for row in rows:

@@ -6,6 +6,7 @@ import pytest
 from faultlens import __main__ as command_line
 from faultlens import analyze_conf, analyze_directories
 from faultlens.model import CFGLOG, IOSCLI, LAYERS, POOL, SYSLOG, VIOCMD
+from faultlens.runtime import shared_dir
 from faultlens.sources import sinks
 from faultlens.sources.logs import log_catalog, open_logs, read_dir_list, scan_log_lines
 
@@ -151,7 +152,8 @@ def test_logs_in_parts(spark, tmp_path, log_table):
     logs = {f"s{n}/{layer}.node{n}": [f"{layer} {i}" for i in range(20)] for n in (1, 2) for layer in LAYERS}
     root = str(tmp_path / "logs")
     sinks.write_log_dirs(log_table(logs).repartition(3), root)
-    lines = scan_log_lines(open_logs(spark, [root]))
+    dirs = [f"{root}/source_dir=s{n}" for n in (1, 2)]
+    lines = scan_log_lines(open_logs(spark, dirs))
     found = {}
     for row in lines.collect():
         found.setdefault((row.node, row.layer, row.file_name), []).append(row.line)
@@ -160,11 +162,62 @@ def test_logs_in_parts(spark, tmp_path, log_table):
         name = path.split("/")[1]
         wanted[(name[-5:], name[:-6], name)] = sorted(texts)
     assert {key: sorted(texts) for key, texts in found.items()} == wanted
-    catalog = log_catalog(spark, [root]).collect()
+    assert log_catalog(spark, [root]).count() == 0
+    assert log_catalog(spark, [root], nested=True).count() == len(logs)
+    catalog = log_catalog(spark, dirs).collect()
     assert len(catalog) == len(logs)
     assert sum(row.size for row in catalog) == sum(len(t) + 1 for texts in logs.values() for t in texts)
 
 
+def test_parts_count_by_number(spark, tmp_path):
+    log = "d/ioscli_global.trace.n1"
+    write(tmp_path, {f"{log}/part-99999": [START], f"{log}/part-100000": ["call rc = 22"],
+                     f"{log}/part-00002": ["call rc = 33"]})
+    report = analyze_directories(spark, [str(tmp_path / "d")], as_of=AS_OF)
+    assert [row.line for row in report.errors.collect()] == ["call rc = 22"]
+
+
+def test_only_the_first_level_counts(spark, tmp_path):
+    write(tmp_path, {"node1/cfglog.node1": ["Error"], "node1/old/cfglog.node1": ["Error"] * 2})
+    dirs = [str(tmp_path / "node1")]
+    assert matrix(analyze_directories(spark, dirs, as_of=AS_OF)) == {("node1", CFGLOG): 1}
+    assert matrix(analyze_directories(spark, dirs, as_of=AS_OF, nested=True)) == {("node1", CFGLOG): 3}
+
+
+def test_last_processed_wins_before_logs_are_opened(spark, tmp_path):
+    write(tmp_path, {"a/cfglog.n": ["Error"] * 2, "b/x": []})
+    # a log that cannot be read: it must not be opened
+    (tmp_path / "b" / "cfglog.n").mkdir()
+    (tmp_path / "b" / "cfglog.n" / "part-0.gz").write_bytes(b"not compressed at all")
+    conf = tmp_path / "conf.txt"
+    conf.write_text(f"{tmp_path}/b\n{tmp_path}/a\n")
+    report = analyze_conf(spark, str(conf), as_of=AS_OF, on_duplicate="last")
+    assert matrix(report) == {("n", CFGLOG): 2}
+    assert [row.source_dir.rsplit("/", 1)[1] for row in report.catalog.collect()] == ["a"]
+
+
+def test_order_of_partitions_does_not_matter(spark, tmp_path, log_table):
+    lines = [START, "rc = 22", END, "rc = 33"] * 30
+    table = log_table({"d/ioscli_global.trace.n1": lines})
+    for name, rows in (("one", table.coalesce(1)), ("many", table.repartition(8))):
+        sinks.write_log_dirs(rows, str(tmp_path / name))
+        report = analyze_directories(spark, [str(tmp_path / name / "source_dir=d")], as_of=AS_OF)
+        assert [row.line for row in report.errors.collect()] == ["rc = 22"] * 30
+
+
+def test_close_leaves_the_shared_folder_as_it_was(spark, four_nodes):
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
+    report = analyze_directories(spark, four_nodes, as_of=AS_OF).persist()
+    assert report.matrix().count() == 20
+    made = set(os.listdir(shared)) - before
+    assert made
+    # one file of rows, however many logs were read
+    assert all(len([f for f in os.listdir(f"{shared}/{d}") if f.startswith("part-")]) <= 4 for d in made)
+    report.close()
+    assert set(os.listdir(shared)) == before
+
+
 def test_directory_child_in_parts(spark, tmp_path):
     write(tmp_path, {"d/cfglog.n1/part-0": ["Error a"], "d/cfglog.n1/part-1": ["ok", "Error b"]})
     report = analyze_directories(spark, [str(tmp_path / "d")])

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from faultlens.model import BROADCAST_ROWS, CFGLOG, IOSCLI, LAYERS, POOL, SYSLOG, VIOCMD, Options
+from faultlens.model import CFGLOG, IOSCLI, LAYERS, POOL, SYSLOG, VIOCMD, Options
 from faultlens.plans.layers import analyze_layer, dispatch_errors
 
 AS_OF = "2020-01-01 00:00:00"
@@ -54,9 +54,8 @@ def found(errors):
     return {key: sorted(ids) for key, ids in rows.items()}
 
 
-@pytest.mark.parametrize("directories", [None, 2, BROADCAST_ROWS])
-def test_dispatch(log_table, directories):
-    errors = dispatch_errors(log_table(LOGS), as_of=AS_OF, directories=directories)
+def test_dispatch(log_table):
+    errors = dispatch_errors(log_table(LOGS), as_of=AS_OF)
     assert found(errors) == WANTED
 
 
@@ -131,7 +130,7 @@ def test_options_reach_the_rules(log_table):
     assert noon == {("n", POOL): [0]}
 
 
-def test_hot_directory_is_spread_over_salts(spark, log_table):
+def test_hot_directory_keeps_every_line(spark, log_table):
     lines = log_table({"hot/cfglog.n": [f"Error {n}" for n in range(3000)]})
     errors = dispatch_errors(lines, as_of=AS_OF)
     assert errors.count() == 3000

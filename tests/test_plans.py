@@ -11,7 +11,9 @@ from faultlens.model import CFGLOG, IOSCLI, POOL
 from faultlens.functions.rules import error_rules
 from faultlens.operators.brackets import within_command
 from faultlens.operators.views import error_matrix
+from faultlens.plans.registry import QUERIES
 from faultlens.plans.layers import dispatch_errors
+from faultlens.runtime import pinned
 from faultlens.sources.logs import open_logs, scan_log_lines
 from faultlens.sources.tables import event_log_lines
 
@@ -23,7 +25,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", driver.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(driver.queries()[name](spark, SF_DIR))
     assert not re.search(r"Python|Arrow|Cartesian|NestedLoop", text)
@@ -41,14 +43,24 @@ def test_lines_are_shuffled_by_chunk(spark):
     assert "HashAggregate" in by_log
 
 
-def test_bounds_are_broadcast_only_when_known_to_be_few(spark):
-    lines = event_log_lines(spark, SF_DIR)
-    few = plan(dispatch_errors(lines, as_of=AS_OF, directories=4))
-    broadcast = r"BroadcastHashJoin \[source_dir#\d+, layer#\d+"
-    assert re.search(broadcast, few)
-    unknown = plan(dispatch_errors(lines, as_of=AS_OF))
-    assert not re.search(broadcast, unknown)
-    assert re.search(r"SortMergeJoin \[source_dir#\d+, layer#\d+, _salt#\d+L\]", unknown)
+def test_one_layer_runs_no_brackets(spark):
+    for name in ("errors_for_layer", "errors_by_layer"):
+        assert "Window" not in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_table_is_read_once_for_hits(spark):
+    before = pinned()
+    errors = dispatch_errors(event_log_lines(spark, SF_DIR), bounds=("2024-01-05", "2024-01-20"))
+    assert pinned() == before + 1
+    # all that is left reads the written hits
+    assert "events.parquet" not in plan(errors)
+
+
+def test_joins_carry_no_forced_hints(spark):
+    errors = dispatch_errors(event_log_lines(spark, SF_DIR), as_of=AS_OF)
+    text = errors._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=" not in text
+    assert "Join LeftOuter" in text
 
 
 def test_counting_starts_before_the_shuffle(spark):

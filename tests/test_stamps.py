@@ -104,6 +104,9 @@ START = {
     "Started at Oct  10 2015, Sat, 00:30:00": AT(2015, 10, 10, 0, 30),
     "Started at Oct  10 2015, Sat, 24:00:00": AT(2015, 10, 11),
     "Started at Feb  31 2015, Sat, 01:00:00": AT(2015, 3, 3, 1),
+    "Started at Oct  00010 2015, Sat, 000003:11:12": AT(2015, 10, 10, 3, 11, 12),
+    "Started at Oct  10 2015, Sat, 00:00:100000": AT(2015, 10, 11, 3, 46, 40),
+    "Started at Oct  99999999999 2015, Sat, 03:11:12": None,
     # unreadable
     "Started at  Oct  10 2015, Sat, 03:11:12": None,
     "Started at Oct 10 2015, Sat, 03:11:12": None,
