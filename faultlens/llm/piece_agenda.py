@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -16,7 +17,9 @@ from faultlens.llm.common import text_of
 
 # Fixed value: how the vocabulary writes a blank.
 BLANK = "▁"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
+# Stretches up to this length go through the agenda many at a time.
+SHORT = 32
 # Runs that hardly any piece of the vocabulary straddles.
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -52,13 +55,91 @@ class AgendaEncoder:
             raise ValueError("the vocabulary joins words, or lacks byte pieces")
         # Merges stay within runs unless a word holds one of these pieces.
         self.straddling = re.compile("|".join(straddling)) if straddling else None
+        self._index_pairs()
         self.runs: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.differing = 0
 
+    def _index_pairs(self) -> None:
+        """Pairs of pieces that join to a piece: sorted keys, places by score, and the piece."""
+        self.ints = list(range(self.library.vocab_size()))
+        self.unknown = len(self.ints)
+        best = {score: n for n, score in enumerate(sorted({-s for s, _ in self.scores.values()}))}
+        pairs = []
+        for piece, (score, n) in self.scores.items():
+            for cut in range(1, len(piece)):
+                left, right = self.scores.get(piece[:cut]), self.scores.get(piece[cut:])
+                if left and right:
+                    pairs.append((left[1] * (self.unknown + 1) + right[1], best[-score], n))
+        keys, places, joined = np.array(sorted(pairs), np.int64).reshape(-1, 3).T
+        # An entry past the end stands for pairs that join to nothing.
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.places = np.append(places, len(best) + 1)
+        self.joined = np.append(joined, -1)
+        self.letters = {piece: n for piece, (_, n) in self.scores.items() if len(piece) == 1}
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left * (self.unknown + 1) + right
+        found = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[found] == wanted, found, len(self.keys) - 1)
+
+    def _agendas(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """Ids of many stretches of text.
+
+        Stretches of one length are the rows of a matrix of symbols, with their agenda, the
+        scores of adjacent pairs, beside it. Each step takes every row's best pair, the
+        leftmost of equals, and joins it; a row whose agenda is empty is done.
+        """
+        done: list[tuple[int, ...]] = [()] * len(texts)
+        by_length: dict[int, list[int]] = {}
+        for n, text in enumerate(texts):
+            if len(text) > SHORT:
+                done[n] = self._agenda(text)
+            else:
+                by_length.setdefault(len(text), []).append(n)
+        none = len(self.keys) - 1
+        for length, rows in by_length.items():
+            places = np.array(rows)
+            letters = [[self.letters.get(c, self.unknown) for c in texts[n]] for n in rows]
+            symbols = np.array(letters, np.int64).reshape(len(rows), length)
+            starts = np.tile(np.arange(length), (len(rows), 1))
+            agenda = self._pairs(symbols[:, :-1], symbols[:, 1:]) if length else symbols
+            while len(places):
+                scores = self.places[agenda]
+                at = scores.argmin(axis=1) if agenda.shape[1] else np.zeros(len(places), int)
+                n = np.arange(len(places))
+                ended = agenda[n, at] == none if agenda.shape[1] else np.ones(len(places), bool)
+                for place, ids, own in zip(places[ended], symbols[ended].tolist(), starts[ended].tolist(), strict=True):
+                    done[place] = self._ids(texts[place], ids, own)
+                live = ~ended
+                places, symbols, starts, agenda, at = (x[live] for x in (places, symbols, starts, agenda, at))
+                if not len(places):
+                    break
+                n = np.arange(len(places))
+                symbols[n, at] = self.joined[agenda[n, at]]
+                width = symbols.shape[1] - 1
+                kept = np.arange(width + 1) != at[:, None] + 1
+                symbols, starts = (x[kept].reshape(len(places), width) for x in (symbols, starts))
+                agenda = agenda[np.arange(width) != at[:, None]].reshape(len(places), width - 1)
+                # The joined symbol has new pairs with its neighbours.
+                for left in (at - 1, at):
+                    inside = (left >= 0) & (left < width - 1)
+                    m, k = n[inside], left[inside]
+                    agenda[m, k] = self._pairs(symbols[m, k], symbols[m, k + 1])
+        return done
+
+    def _ids(self, text: str, symbols: list[int], starts: list[int]) -> tuple[int, ...]:
+        if self.unknown not in symbols:
+            # Shared integers, as the cache holds very many of them.
+            return tuple(map(self.ints.__getitem__, symbols))
+        found: list[int] = []
+        for n, start in zip(symbols, starts, strict=True):
+            found += [n] if n != self.unknown else [self.bytes_[byte] for byte in text[start].encode()]
+        return tuple(found)
+
     def _agenda(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch of text: a heap of pairs by score, the leftmost first."""
+        """Ids of one long stretch: a heap of pairs by score, the leftmost first."""
         scores = self.scores
         symbols: list[str] = list(text)
         after = list(range(1, len(symbols) + 1))
@@ -97,19 +178,14 @@ class AgendaEncoder:
             at = after[at]
         return tuple(ids)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of blanks and what follows them."""
+    def _parts(self, word: str) -> list[str]:
+        """A word as stretches that are encoded one by one."""
         if self.straddling and self.straddling.search(word):
-            return self._agenda(word)
+            return [word]
         bare = word.lstrip(BLANK)
-        blanks = word[: len(word) - len(bare)]
         parts = _RUN.findall(bare) or [""]
-        parts[0] = blanks + parts[0]
-        runs = self.runs
-        for part in parts:
-            if part not in runs:
-                runs[part] = self._agenda(part)
-        return tuple(chain.from_iterable(map(runs.__getitem__, parts)))
+        parts[0] = word[: len(word) - len(bare)] + parts[0]
+        return parts
 
     def _learn(self, words: set[str]) -> None:
         """Encode words not met before, and check each against the library.
@@ -124,8 +200,12 @@ class AgendaEncoder:
         # The library puts one blank in front itself, but not in front of nothing.
         expected = self.library.encode([word[1:] for word in new], num_threads=1) if new else []
         expected = [ids or [self.scores[BLANK][1]] for ids in expected]
-        for word, ids in zip(new, expected, strict=True):
-            own = self._word(word)
+        parts = list(map(self._parts, new))
+        runs = self.runs
+        missing = list(dict.fromkeys(run for one in parts for run in one if run not in runs))
+        runs.update(zip(missing, self._agendas(missing), strict=True))
+        for word, one, ids in zip(new, parts, expected, strict=True):
+            own = runs[one[0]] if len(one) == 1 else tuple(chain.from_iterable(map(runs.__getitem__, one)))
             if own != (right := tuple(ids)):
                 self.differing += 1
                 own = right
