@@ -106,8 +106,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     numbers of their dropped lines.
     """
     lines = pin(_long_lines(docs))
-    cuts = lines.approxQuantile("doc_id", [n / batches for n in range(1, batches)], 0.01)
-    edges = sorted({int(cut) for cut in cuts}, reverse=True)
+    shares = [n / batches for n in range(1, batches)]
+    cuts = lines.agg(F.percentile_approx("doc_id", shares)).first()[0] if shares else None
+    edges = sorted(set(cuts or ()), reverse=True)
     runs = LineRuns()
     upper = None
     for edge in [*edges, None]:
