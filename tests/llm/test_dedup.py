@@ -1,0 +1,194 @@
+import random
+
+import numpy as np
+import pytest
+from helpers import SPACE, awkward, components, documents, fingerprint, sha
+from pyspark.sql import functions as F
+
+from faultlens.llm import bloom_dedup, line_runs, nn_descent
+from faultlens.llm.bloom_dedup import exact_groups
+from faultlens.llm.components import connected_components
+from faultlens.llm.line_runs import dedup_lines
+from faultlens.llm.nn_descent import embedding_groups
+from faultlens.llm.simhash import near_duplicates
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    # a chain, a star with many leaves, random links, a link to itself and one to nothing
+    links = [(n, n + 1) for n in range(1000, 1040)] + [(5, n) for n in range(2000, 2400)]
+    links += [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(7, 7)]
+    rows = [(a, b) for a, b in links] + [(9, None)]
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    linked = {i for a, b in links if a != b for i in (a, b)}
+    assert found == components(linked, [x for x in links if x[0] != x[1]])
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def exact(rows):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(SPACE.sub("", text or ""), []).append((doc_id, text or ""))
+    found = []
+    for key, members in groups.items():
+        best = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))
+        found += [(i, best[0], len(members), i == best[0] and len(t) == len(best[1]), sha(key)) for i, t in members]
+    return sorted(found, key=str)
+
+
+def collected(df):
+    return sorted((tuple(row) for row in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("bits", [16, 4])
+def test_exact_groups(spark, monkeypatch, bits):
+    # With a tiny filter nearly every row is a maybe, and the hash is done in ranges.
+    monkeypatch.setattr(bloom_dedup, "MIN_BITS", bits)
+    monkeypatch.setattr(bloom_dedup, "MAX_BITS", max(bits, 13) if bits == 4 else 26)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \n") for _ in range(rng.randrange(9))) for _ in range(1500)]
+    docs = documents(spark, texts)
+    assert collected(exact_groups(docs)) == exact(enumerate(texts))
+
+
+def test_exact_groups_awkward(spark):
+    docs = awkward(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert collected(exact_groups(docs)) == exact(rows)
+    assert exact_groups(docs.limit(0)).count() == 0
+
+
+def lines_without(rows):
+    """n_lines, n_dropped and the text kept, per document."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for doc_id, text in rows:
+        if doc_id is not None:
+            for line in (text or "").split("\n"):
+                holders.setdefault(key(line), set()).add(doc_id)
+    doomed = {k: max(ids) for k, ids in holders.items() if len(k) >= 20 and len(ids) >= 3}
+    found = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if doc_id is None or doomed.get(key(x), doc_id) == doc_id]
+        found.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize(("batches", "fan_in"), [(1, 2), (4, 2), (7, 3)])
+def test_line_dedup(spark, monkeypatch, batches, fan_in):
+    monkeypatch.setattr(line_runs.LineRuns, "fan_in", fan_in)
+    rng = random.Random(2)
+    pool = [f"  This line number {n} has SOME length\t" for n in range(30)] + ["short", "", "É" * 20, "é" * 20]
+    texts = ["\n".join(rng.choice(pool).swapcase() if rng.random() < 0.2 else rng.choice(pool)
+                       for _ in range(rng.randrange(12))) for _ in range(120)]
+    docs = documents(spark, texts)
+    found = dedup_lines(docs, batches).select("doc_id", "n_lines", "n_dropped", "kept_text")
+    assert collected(found) == lines_without(list(enumerate(texts)))
+
+
+def test_line_dedup_awkward(spark):
+    shared = "the same line in every one of them"
+    docs = awkward(spark).unionByName(
+        documents(spark, [shared] * 4 + [None], [20, 20, 21, 22, None]).withColumns(
+            {c: F.lit("clash") for c in awkward(spark).columns if c not in ("doc_id", "text", "lang", "source", "n_chars")}
+        )
+    )
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = dedup_lines(docs)
+    assert set(docs.columns) - set(found.columns) <= {"_id"}
+    assert collected(found.select("doc_id", "n_lines", "n_dropped", "kept_text")) == lines_without(rows)
+    assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def near(rows):
+    prints = [(i, fingerprint(t or "")) for i, t in rows]
+    by_print = {}
+    for i, p in prints:
+        by_print.setdefault(p, []).append(i)
+    known = list(by_print)
+    links = [(a, b) for n, a in enumerate(known) for b in known[n + 1 :] if (a ^ b).bit_count() <= 2]
+    parts = components(known, links)
+    least = {}
+    for p in known:
+        ids = [i for i in by_print[p] if i is not None]
+        if ids:
+            least[parts[p]] = min(min(ids), least.get(parts[p], min(ids)))
+    return sorted(((i, f"{p:016x}", least.get(parts[p])) for i, p in prints), key=str)
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(400)]
+    texts = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.choice((2, 8, 300)))]
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words).upper()
+            texts.append("  ".join(copy))
+    wanted = near(list(enumerate(texts)))
+    # The fixture has links between different fingerprints.
+    assert len({c for _, _, c in wanted}) < len({p for _, p, _ in wanted})
+    assert collected(near_duplicates(documents(spark, texts))) == wanted
+
+
+def test_links_of_close_fingerprints(spark):
+    """Every pair up to two bits apart is met, and no other, in a dense set of fingerprints."""
+    from faultlens.llm.simhash import _links
+
+    rng = random.Random(4)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    for p in list(prints):
+        for _ in range(12):
+            prints.add(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.3) * (1 << rng.randrange(64)))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = _links(spark.createDataFrame([(p, n) for n, p in enumerate(signed)], "fp long, rep long")).distinct()
+    got = {tuple(sorted((r.a, r.b))) for r in found.collect()}
+    assert got == {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 2}
+
+
+def test_near_duplicates_awkward(spark):
+    docs = awkward(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert collected(near_duplicates(docs)) == near(rows)
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def embeddings(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    rows = [(i, v, None, "clash") for i, v in zip(ids, vectors, strict=True)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, vector string").repartition(2)
+
+
+def grouped(vectors):
+    x = [None if v is None or not v or any(c is None or not np.isfinite(c) for c in v) or not any(v)
+         else np.array(v, "f4").astype("f8") for v in vectors]
+    n = len(vectors)
+    unit = [None if v is None else v / np.linalg.norm(v) for v in x]
+    linked = [(a, b) for a in range(n) for b in range(a + 1, n)
+              if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    part = components(range(n), linked)
+    count = [sum(i in pair for pair in linked) for i in range(n)]
+    return [(i, count[i], part[i], part[i] == i) for i in range(n)]
+
+
+def test_embedding_groups(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = list(rng.normal(size=(200, 16)))
+    # copies, two groups larger than any list at first, pairs, and scaled copies
+    rows += [rows[0]] * 30 + [rows[1] + rng.normal(size=16) * 0.05 for _ in range(60)]
+    rows += [row * 3 + rng.normal(size=16) * 0.1 for row in rows[2:20]]
+    vectors = [[float(c) for c in row] for row in rows]
+    vectors += [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0]]
+    found = sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect())
+    assert found == grouped(vectors)
+
+
+def test_embedding_groups_of_nothing(spark):
+    assert embedding_groups(embeddings(spark, [[1.0]]).limit(0)).count() == 0
+    found = embedding_groups(embeddings(spark, [[1.0, 0.0], [1.0, 0.0], None], [4, None, 2]))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(4, 0, 4, True), (None, 0, None, None), (2, 0, 2, True)], key=str)
