@@ -30,10 +30,14 @@ log_lines AS (
       ELSE 'cfg ' || CASE WHEN failed THEN 'Error' ELSE 'ok' END END AS line
   FROM rendered)"""
 
-# The command of a run: its end is marked late, and on the last node never.
+# The command of a run: its end is marked late, and on the last node never; one
+# node has no errors in its configuration log.
 _RUN_LINES = _EVENT_LINES.replace(
     "WHEN 'purchase' THEN",
     "WHEN CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' AND node <> 'node4' THEN 'purchase' END THEN",
+).replace(
+    "event_type = 'error' AS failed",
+    "event_type = 'error' AND NOT (event_id % 5 = 4 AND user_id % 4 = 2) AS failed",
 )
 
 _ORDER_LINES = """

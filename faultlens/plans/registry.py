@@ -367,7 +367,7 @@ def error_details_written(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("line"),
     )
     order = Window.partitionBy("node", "layer").orderBy("part", "block_start", "row_id")
-    return pin(read).withColumn("nth", F.row_number().over(order)).select("node", "layer", "nth", "line")
+    return pin(read).withColumn("nth", F.row_number().over(order).cast("bigint")).select("node", "layer", "nth", "line")
 
 
 def ioscli_error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +396,7 @@ def full_run_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error lines of the run over log files, each pair numbered in line order."""
     details = _file_report(spark, sf_dir).details()
     order = Window.partitionBy("node", "layer").orderBy("path", "part", "block_start", "row_id")
-    return details.withColumn("nth", F.row_number().over(order)).select("node", "layer", "nth", "line")
+    return details.withColumn("nth", F.row_number().over(order).cast("bigint")).select("node", "layer", "nth", "line")
 
 
 def full_run_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
