@@ -1,5 +1,24 @@
 """DuckDB SQL giving the same rows as the registered queries, where SQL can."""
 
+OP4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM v
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a
+), part AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM part LEFT JOIN counted ON id = a
+"""
+
 OP5 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -35,4 +54,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-LLM_ORACLES = {"op5_exact_dedup": OP5, "op7_line_dedup": OP7}
+LLM_ORACLES = {"op4_embeddings": OP4, "op5_exact_dedup": OP5, "op7_line_dedup": OP7}
