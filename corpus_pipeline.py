@@ -46,7 +46,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Rows without doc_id stay.
+    Rows without doc_id stay, and so do rows that repeat the doc_id that is kept.
     """
     gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -56,8 +56,15 @@ def _unit_vectors(table: DataFrame) -> DataFrame:
     return rows.mapInArrow(packed, "vec_id bigint, vector binary")
 
 
-def _single(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<f8").astype(np.float32)
+def _in_single(points: DataFrame) -> DataFrame:
+    """The same vectors in single precision, half the bytes for lists to carry."""
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.frombuffer(x, "<f8").astype("<f4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["vec_id", "vector"])
+
+    return points.mapInArrow(cast, "vec_id bigint, vector binary")
 
 
 def _orders(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
@@ -152,7 +159,7 @@ def _local_joins(lists: DataFrame, each: int) -> DataFrame:
                 ids = np.array([row["b"] for row in rows], np.int64)
                 if len(ids) < 2:
                     continue
-                x = np.stack([_single(row["vector"]) for row in rows])
+                x = np.stack([np.frombuffer(row["vector"], "<f4") for row in rows])
                 cosine = x @ x.T
                 np.fill_diagonal(cosine, -2)
                 top = np.argsort(-cosine, axis=1, kind="stable")[:, :each]
@@ -312,6 +319,7 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     classes = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = pin(classes)
     points = classes.select(F.col("rep").alias("vec_id"), "vector")
+    light = pin(_in_single(points))
     rows = classes.count()
     links: DataFrame | None = None
     parts = spark.createDataFrame([], "id bigint, component bigint")
@@ -320,7 +328,7 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
         pairs = _both_ways(_first_links(_orders(points, rows, attempt), 2))
         seen = []
         for _ in range(ROUNDS + 1):
-            proposed = _local_joins(_lists(pairs, points), each)
+            proposed = _local_joins(_lists(pairs, light), each)
             graph = pin(_nearest(proposed if not seen else proposed.unionByName(seen[-1]), each))
             seen.append(graph)
             pairs = _candidates(graph, each)
