@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -18,6 +19,8 @@ from faultlens.llm.common import text_of
 # Fixed value: how the vocabulary writes a blank.
 BLANK = "▁"
 CACHE_ENTRIES = 400_000
+# Texts that are cut into words at once.
+SLICE = 800
 # Stretches up to this length go through the agenda many at a time.
 SHORT = 32
 # Runs that hardly any piece of the vocabulary straddles.
@@ -57,8 +60,8 @@ class AgendaEncoder:
         self.straddling = re.compile("|".join(straddling)) if straddling else None
         self._index_pairs()
         self.runs: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.differing = 0
 
     def _index_pairs(self) -> None:
@@ -193,26 +196,31 @@ class AgendaEncoder:
         Should the two ever differ, the library's ids are taken and counted in
         ``differing``.
         """
-        older = self.older
-        new = [word for word in words if word not in self.words]
-        self.words.update((word, older[word]) for word in new if word in older)
-        new = [word for word in new if word not in older]
+        met = words.difference(self.words)
+        kept = {word: self.older[word] for word in met.intersection(self.older)}
+        self.words.update(kept)
+        new = list(met.difference(kept))
         # The library puts one blank in front itself, but not in front of nothing.
         expected = self.library.encode([word[1:] for word in new], num_threads=1) if new else []
-        expected = [ids or [self.scores[BLANK][1]] for ids in expected]
-        parts = list(map(self._parts, new))
+        # Most words are one blank and letters, which is one stretch.
+        parts = [[word] if word[1:].isalpha() else self._parts(word) for word in new]
         runs = self.runs
-        missing = list(dict.fromkeys(run for one in parts for run in one if run not in runs))
-        runs.update(zip(missing, self._agendas(missing), strict=True))
-        for word, one, ids in zip(new, parts, expected, strict=True):
-            own = runs[one[0]] if len(one) == 1 else tuple(chain.from_iterable(map(runs.__getitem__, one)))
-            if own != (right := tuple(ids)):
+        missing = list({run for one in parts for run in one}.difference(runs))
+        found = dict(zip(missing, self._agendas(missing), strict=True))
+        for word, one, right in zip(new, parts, expected, strict=True):
+            if len(one) == 1:
+                own = list(found[word] if word in found else runs[word])
+            else:
+                runs.update((run, found[run]) for run in one if run not in runs)
+                own = list(chain.from_iterable(map(runs.__getitem__, one)))
+            right = right or [self.scores[BLANK][1]]
+            if own != right:
                 self.differing += 1
                 own = right
-            self.words[word] = own
+            self.words[word] = array("i", own).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without begin and end."""
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, without begin and end, as 32-bit integers of this machine."""
         if len(self.words) > CACHE_ENTRIES:
             # Words met again are taken over from the older generation.
             self.older, self.words = self.words, {}
@@ -227,7 +235,11 @@ class AgendaEncoder:
                 cut.append((BLANK + text.replace(" ", f" {BLANK}")).split(" "))
         self._learn(set(chain.from_iterable(cut)))
         words = self.words
-        return [list(chain.from_iterable(map(words.__getitem__, one))) for one in cut]
+        return [b"".join(map(words.__getitem__, one)) for one in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, without begin and end."""
+        return [np.frombuffer(one, np.int32).tolist() for one in self.encode_packed(texts)]
 
 
 @lru_cache(maxsize=4)
@@ -250,12 +262,15 @@ def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_at(model)
         for batch in batches:
-            # Slices bound what is in memory as lists of ids.
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = encoder.encode(part.column(1).to_pylist())
-                decoded = [encoder.library.decode(one) for one in ids]
-                columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            # Slices bound what is in memory as words and ids.
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                packed = encoder.encode_packed(part.column(1).to_pylist())
+                decoded = [encoder.library.decode(np.frombuffer(one, np.int32).tolist()) for one in packed]
+                ends = np.cumsum([0] + [len(one) // 4 for one in packed]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(ends), values)
+                columns = [part.column(0), ids, pa.array(decoded, pa.string())]
                 yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"])
 
     rows = docs.select("doc_id", text_of().alias("text"))
