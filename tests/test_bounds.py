@@ -1,6 +1,5 @@
 from datetime import datetime, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from faultlens.operators.bounds import command_bounds, with_bounds
