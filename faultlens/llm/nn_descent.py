@@ -25,6 +25,9 @@ AUDIT_QUERIES = 400
 RECALL = 0.97
 # Rows of a component counted against each other in one step.
 BLOCK = 1024
+# Bytes of vectors that every row is compared with in one pass, and rows of a step of it.
+SLAB_BYTES = 16 << 20
+STEP = 2048
 # Inner products of unit vectors in single precision are good to this.
 SLACK = 1e-4
 
@@ -251,6 +254,79 @@ def _audit(vectors: DataFrame, links: DataFrame, rows: int, threshold: float, qu
     return row.hit / row.n if row.n else 1.0
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as connect what the pairs ``(a, b)`` connect: each id with its least."""
+    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = places[: len(a)], places[len(a) :]
+    least = np.arange(len(ids))
+    while True:
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    own = least != np.arange(len(ids))
+    return ids[own], ids[least[own]]
+
+
+def _cross_links(points: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of components ``(a, b)`` that vectors of theirs link, whatever the search has seen.
+
+    Every vector is compared with every other, in double precision. Slabs of bounded
+    size go to all tasks one after the other, and meet the vectors of their own and of
+    earlier slabs. Links inside a component say nothing new, and of links between
+    components each step gives as few as connect them.
+    """
+    named = points.join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    total = points.agg(F.sum(F.length("vector")).alias("n")).first().n or 0
+    slabs = -(-total // SLAB_BYTES)
+    slab = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, slabs)))
+    named = pin(named.select(slab.alias("slab"), F.coalesce("component", "vec_id").alias("part"), "vector"))
+    context = points.sparkSession.sparkContext
+    found = []
+    for nth in range(slabs):
+        by_width: dict[int, list] = {}
+        for row in named.filter(F.col("slab") == nth).select("part", "vector").collect():
+            by_width.setdefault(len(row.vector) // 8, []).append(row)
+        shared = context.broadcast(
+            {
+                width: (np.array([r.part for r in some]), np.stack([np.frombuffer(r.vector, "<f8") for r in some]))
+                for width, some in by_width.items()
+            }
+        )
+
+        def compared(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = np.asarray(batch.column(0))
+                groups: dict[int, list[int]] = {}
+                blobs = batch.column(1).to_pylist()
+                for n, blob in enumerate(blobs):
+                    groups.setdefault(len(blob) // 8, []).append(n)
+                for width, places in groups.items():
+                    if width not in shared.value:
+                        continue
+                    other, y = shared.value[width]
+                    for low in range(0, len(places), STEP):
+                        some = places[low : low + STEP]
+                        own = ids[some]
+                        x = np.stack([np.frombuffer(blobs[n], "<f8") for n in some])
+                        for at in range(0, len(y), STEP):
+                            near = x @ y[at : at + STEP].T >= threshold
+                            near &= own[:, None] != other[None, at : at + STEP]
+                            p, q = np.nonzero(near)
+                            if len(p):
+                                a, b = _forest(own[p], other[at + q])
+                                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        earlier = named.filter(F.col("slab") <= nth).select("part", "vector")
+        found.append(pin(earlier.mapInArrow(compared, "a bigint, b bigint").distinct()))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, found) if found else parts.select("id", "component").toDF("a", "b").limit(0)
+
+
 def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """Links of every vector within its component: ``(vec_id, n)``, weights of copies included.
 
@@ -312,7 +388,9 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     seen that reach the threshold are verified in double precision. Components follow,
     lists that cannot hold all near neighbours are enlarged to their component in
     blocks, and an audit compares a bounded query set with all rows; if too few
-    of its links are connected, another try adds links from new orders.
+    of its links are connected, another try adds links from new orders. Last, all
+    vectors are compared in slabs for links between components, so none is missed
+    between groups that fill each other's lists.
     """
     spark = table.sparkSession
     vectors = pin(_unit_vectors(table))
@@ -338,6 +416,10 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
         if _audit(points, parts, rows, threshold, AUDIT_QUERIES) >= RECALL:
             break
 
+    # What the search has not seen: links between components, or of vectors in none.
+    missed = pin(_cross_links(points, parts, threshold))
+    if not missed.isEmpty():
+        parts = pin(connected_components(links.unionByName(missed)))
     members = parts.join(classes, F.col("id") == F.col("rep"))
     members = pin(members.select("component", F.col("id").alias("vec_id"), "weight", "vector"))
     counts = _link_counts(members, threshold)

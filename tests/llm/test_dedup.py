@@ -192,3 +192,20 @@ def test_embedding_groups_of_nothing(spark):
     assert embedding_groups(embeddings(spark, [[1.0]]).limit(0)).count() == 0
     found = embedding_groups(embeddings(spark, [[1.0, 0.0], [1.0, 0.0], None], [4, None, 2]))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(4, 0, 4, True), (None, 0, None, None), (2, 0, 2, True)], key=str)
+
+
+def test_embedding_groups_that_fill_each_others_lists(spark, monkeypatch):
+    """Links between two dense groups rank below all links inside them."""
+    monkeypatch.setattr(nn_descent, "SLAB_BYTES", 128 << 10, raising=False)
+    rng = np.random.default_rng(15)
+    size, width = 100, 64
+    center, apart = np.linalg.qr(rng.normal(size=(width, 2)))[0].T
+    # Cosine about 0.99 inside and 0.957 across.
+    noise = rng.normal(size=(2 * size, width)) * 0.1 / np.sqrt(width)
+    groups = np.repeat([center + 0.13 * apart, center - 0.13 * apart], size, axis=0) + noise
+    x = np.concatenate([groups, rng.normal(size=(300, width))])
+    vectors = [[float(c) for c in row] for row in x]
+    wanted = grouped(vectors)
+    assert {part for _, _, part, _ in wanted[: 2 * size]} == {0}
+    found = sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect())
+    assert found == wanted
