@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by NN-descent over a neighbour graph."""
+"""Embedding near-duplicates by NN-descent over a neighbour graph, completed by comparison."""
 
 from __future__ import annotations
 
@@ -17,12 +17,9 @@ THRESHOLD = 0.95
 # Neighbours a list starts with; orders of the vectors the first graph comes from.
 NEIGHBOURS = 8
 ORDERS = 6
-# Rounds of refinement in one try; tries with new orders until the audit is content.
+# Rounds of refinement, and the seed of the orders.
 ROUNDS = 2
-TRIES = 4
-# Vectors compared with all rows to measure recall, and the recall asked for.
-AUDIT_QUERIES = 400
-RECALL = 0.97
+SEED = 0
 # Rows of a component counted against each other in one step.
 BLOCK = 1024
 # Bytes of vectors that every row is compared with in one pass, and rows of a step of it.
@@ -211,49 +208,6 @@ def _within(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(kept, "a bigint, b bigint")
 
 
-def _audit(vectors: DataFrame, links: DataFrame, rows: int, threshold: float, queries: int) -> float:
-    """The share of a query set's true links that are connected by found ones.
-
-    A bounded set of vectors with ids divisible by 100 (any, if there are too few) is
-    compared with all rows, in blocks as they are read.
-    """
-    asked = vectors.filter("vec_id % 100 = 0").orderBy(F.xxhash64("vec_id")).limit(queries).collect()
-    if len(asked) < min(queries, rows // 100):
-        asked = vectors.orderBy(F.xxhash64("vec_id")).limit(queries).collect()
-    by_width: dict[int, list] = {}
-    for row in asked:
-        by_width.setdefault(len(row.vector) // 8, []).append(row)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        {
-            width: (np.array([r.vec_id for r in some]), np.stack([np.frombuffer(r.vector, "<f8") for r in some]))
-            for width, some in by_width.items()
-        }
-    )
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            groups: dict[int, list[int]] = {}
-            blobs = batch.column(1).to_pylist()
-            for n, blob in enumerate(blobs):
-                groups.setdefault(len(blob) // 8, []).append(n)
-            for width, places in groups.items():
-                if width in shared.value:
-                    asked_ids, asked_x = shared.value[width]
-                    x = np.stack([np.frombuffer(blobs[n], "<f8") for n in places])
-                    q, r = np.nonzero(asked_x @ x.T >= threshold)
-                    a, b = asked_ids[q], ids[places][r]
-                    own = a != b
-                    yield pa.record_batch([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
-
-    truth = vectors.mapInArrow(compared, "a bigint, b bigint")
-    parts = links.select("id", "component")
-    known = truth.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    known = known.join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    row = known.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-    return row.hit / row.n if row.n else 1.0
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few pairs as connect what the pairs ``(a, b)`` connect: each id with its least."""
     ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -385,37 +339,27 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Equal vectors are one class with a weight. A first neighbour graph comes from orders by
     random projections. Rounds of NN-descent then join the neighbours of neighbours:
     each vector's list, bounded, is a group whose members propose each other. Pairs
-    seen that reach the threshold are verified in double precision. Components follow,
-    lists that cannot hold all near neighbours are enlarged to their component in
-    blocks, and an audit compares a bounded query set with all rows; if too few
-    of its links are connected, another try adds links from new orders. Last, all
-    vectors are compared in slabs for links between components, so none is missed
-    between groups that fill each other's lists.
+    seen that reach the threshold are verified in double precision. Components follow.
+    The search is no proof that a pair is absent, so all vectors are then compared in
+    slabs for links between components, and what is found joins these: the groups
+    are those of all links, whatever the search has missed. Links are counted within
+    components, in blocks.
     """
-    spark = table.sparkSession
     vectors = pin(_unit_vectors(table))
     classes = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = pin(classes)
     points = classes.select(F.col("rep").alias("vec_id"), "vector")
     light = pin(_in_single(points))
     rows = classes.count()
-    links: DataFrame | None = None
-    parts = spark.createDataFrame([], "id bigint, component bigint")
-    for attempt in range(TRIES):
-        each = NEIGHBOURS << attempt
-        pairs = _both_ways(_first_links(_orders(points, rows, attempt), 2))
-        seen = []
-        for _ in range(ROUNDS + 1):
-            proposed = _local_joins(_lists(pairs, light), each)
-            graph = pin(_nearest(proposed if not seen else proposed.unionByName(seen[-1]), each))
-            seen.append(graph)
-            pairs = _candidates(graph, each)
-        found = _within(reduce(DataFrame.unionByName, seen), points, threshold)
-        links = pin(found if links is None else links.union(found).distinct())
-        parts = pin(connected_components(links))
-        if _audit(points, parts, rows, threshold, AUDIT_QUERIES) >= RECALL:
-            break
-
+    pairs = _both_ways(_first_links(_orders(points, rows, SEED), 2))
+    seen = []
+    for _ in range(ROUNDS + 1):
+        proposed = _local_joins(_lists(pairs, light), NEIGHBOURS)
+        graph = pin(_nearest(proposed if not seen else proposed.unionByName(seen[-1]), NEIGHBOURS))
+        seen.append(graph)
+        pairs = _candidates(graph, NEIGHBOURS)
+    links = pin(_within(reduce(DataFrame.unionByName, seen), points, threshold))
+    parts = pin(connected_components(links))
     # What the search has not seen: links between components, or of vectors in none.
     missed = pin(_cross_links(points, parts, threshold))
     if not missed.isEmpty():

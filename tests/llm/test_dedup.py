@@ -209,3 +209,15 @@ def test_embedding_groups_that_fill_each_others_lists(spark, monkeypatch):
     assert {part for _, _, part, _ in wanted[: 2 * size]} == {0}
     found = sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect())
     assert found == wanted
+
+
+def test_embedding_groups_that_the_search_misses(spark, monkeypatch):
+    """A search that hardly finds anything changes no result."""
+    monkeypatch.setattr(nn_descent, "ORDERS", 1)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 0)
+    monkeypatch.setattr(nn_descent, "_first_links", lambda orders, each: spark.createDataFrame([(0, 1)], "a long, b long"))
+    x = np.random.default_rng(16).normal(size=(60, 16))
+    x[40:] = x[:20] * 2 + 0.05
+    vectors = [[float(c) for c in row] for row in x]
+    found = sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect())
+    assert found == grouped(vectors) and sum(n for _, n, _, _ in found) >= 30
