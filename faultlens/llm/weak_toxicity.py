@@ -25,10 +25,12 @@ MIN_SUPPORT = 3
 PREFIXES = (4, 5)
 ROUNDS = 30
 LABEL_ACCURACY = 0.98
-# Lower end of a feature's log odds ratio, in standard errors; hashes of a text's
-# word triples by which near copies of an example are told.
+# Lower end of a feature's log odds ratio, in standard errors.
 STANDARD_ERRORS = 2.5
-SKETCH = 3
+# Least hashes of a text's word triples, and the share of equal ones (an estimate of the
+# Jaccard similarity) from which a text is a near copy of an example.
+SKETCH = 64
+ALIKE = 0.8
 FOLDS = 5
 HELD_OUT = 0
 
@@ -44,12 +46,29 @@ def features_of(text: str) -> set[str]:
     return found
 
 
-def sketch_of(text: str) -> list[int]:
-    """Least hashes of the word triples of a text, one per seed."""
+_MIXERS = np.random.default_rng(1).integers(1 << 63, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch_of(text: str) -> np.ndarray:
+    """Least hashes of the word triples of a text, ``SKETCH`` of them."""
     words = text.lower().split()
     triples = {" ".join(words[n : n + 3]) for n in range(max(1, len(words) - 2))}
-    digest = xxhash.xxh64_intdigest
-    return [min(digest(triple, seed) for triple in triples) >> 1 for seed in range(SKETCH)]
+    hashes = np.array([xxhash.xxh64_intdigest(triple) for triple in triples], np.uint64)
+    return np.array([((hashes ^ mixer) * mixer >> np.uint64(32)).min() for mixer in _MIXERS], np.uint32)
+
+
+def _examples(sketches: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Places of the rows that are no near copy of an earlier example with the same label."""
+    chosen = []
+    for label in np.unique(toxic):
+        places = np.flatnonzero(toxic == label)
+        kept, n = np.empty((len(places), SKETCH), np.uint32), 0
+        for place in places:
+            if not ((kept[:n] == sketches[place]).sum(axis=1) >= ALIKE * SKETCH).any():
+                kept[n] = sketches[place]
+                n += 1
+                chosen.append(place)
+    return np.array(chosen, int)
 
 
 @dataclass(frozen=True)
@@ -73,9 +92,10 @@ def fold_of(doc_id: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """``(text, toxic)`` of some ``most`` labelled rows outside the held-out fold.
 
-    Rows are chosen by a hash of doc_id. Of texts that share one of ``SKETCH`` least
-    hashes of their word triples, as near copies do, one is an example. Rows without
-    doc_id or label are no examples, and an id with labels of both kinds is none.
+    Rows are chosen by a hash of doc_id. Of texts with equal labels whose sketches agree in
+    a share of ``ALIKE``, as those of near copies do, one is an example; texts that share
+    a passage, or differ in label, all are. Rows without doc_id or label are no
+    examples, and an id with labels of both kinds is none.
     """
     known = labels.filter("doc_id is not null and toxic is not null")
     known = known.filter(fold_of() != HELD_OUT)
@@ -86,21 +106,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     # At most about ``most`` rows of two numbers: the sample's bound is the broadcast's.
     known = known.filter(picked).select("doc_id", "toxic")
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")
-    names = [f"least_{n}" for n in range(SKETCH)]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [sketch_of(text.as_py()) for text in batch.column(0)]
-            columns = [pa.array([s[n] for s in sketches], pa.int64()) for n in range(SKETCH)]
-            yield pa.record_batch([*batch.columns, *columns], names=["text", "toxic", *names])
-
-    rows = found.select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.mapInArrow(sketched, "text string, toxic int, " + ", ".join(f"{n} bigint" for n in names))
-    # The example kept is the same whatever order rows arrive in.
-    for name in names:
-        rows = rows.groupBy(name).agg(F.min_by(F.struct(*rows.columns), F.struct("text", "toxic")).alias("row"))
-        rows = rows.select("row.*")
-    return rows.select("text", "toxic")
+            blobs = [sketch_of(text.as_py()).tobytes() for text in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["key", "toxic", "sketch"])
+
+    rows = found.select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+    rows = pin(rows.select(F.xxhash64("text").alias("key"), "toxic", "text"))
+    # Sketches are as many as the sample's rows, and the examples the same in any order of arrival.
+    met = sorted(rows.mapInArrow(sketched, "key bigint, toxic int, sketch binary").collect())
+    if not met:
+        return rows.select("text", "toxic")
+    sketches = np.stack([np.frombuffer(row.sketch, np.uint32) for row in met])
+    chosen = _examples(sketches, np.array([row.toxic for row in met]))
+    kept = [(met[n].key, met[n].toxic) for n in chosen]
+    kept = docs.sparkSession.createDataFrame(kept, "key bigint, toxic int")
+    return rows.join(F.broadcast(kept), ["key", "toxic"]).select("text", "toxic")
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from faultlens.llm.harmonic_packing import cut_lengths, pack_documents, tokenize
 from faultlens.llm.host_suffixes import blocks_of, extract_main_text, host_of
 from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.piece_agenda import encode_and_decode, encoder_at
-from faultlens.llm.weak_toxicity import fit, label_model, linear_classifier, score_documents
+from faultlens.llm.weak_toxicity import fit, label_model, labelled_sample, linear_classifier, score_documents
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -285,6 +285,19 @@ def test_toxicity(spark):
     assert again == model
 
 
+def test_examples_that_share_a_passage(spark):
+    """Only near copies with the same label are one example."""
+    passage = " ".join(f"shared{n}" for n in range(60))
+    own = [" ".join(f"w{n}x{i}" for i in range(40)) for n in range(60)]
+    texts = [f"{text} {passage}" for text in own] + [f"{' '.join(f'c{i}' for i in range(200))} end{n}" for n in range(6)]
+    ids = [n for n in range(400) if zlib.crc32(str(n).encode()) % 5][: len(texts)]
+    labels = [n % 5 == 0 for n in range(60)] + [True, False, False, False, True, False]
+    marked = spark.createDataFrame([(i, 1, int(y)) for i, y in zip(ids, labels)], "doc_id long, quality int, toxic int")
+    found = labelled_sample(documents(spark, texts, ids), marked).collect()
+    assert {r.text for r in found} >= set(texts[:60])
+    assert sorted(r.toxic for r in found if r.text.startswith("c0 ")) == [0, 1]
+
+
 def test_label_model_overrules_a_wrong_label():
     rng = np.random.default_rng(14)
     truth = rng.random(800) < 0.3
