@@ -248,6 +248,23 @@ def encoder_at(path: str) -> AgendaEncoder:
     return AgendaEncoder(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: AgendaEncoder) -> Iterator[pa.RecordBatch]:
+    """Batches of ids and decoded text; an error if the agenda has differed from the library."""
+    for batch in batches:
+        # Slices bound what is in memory as words and ids.
+        for low in range(0, batch.num_rows, SLICE):
+            part = batch.slice(low, SLICE)
+            packed = encoder.encode_packed(part.column(1).to_pylist())
+            if encoder.differing:
+                raise ValueError(f"the agenda and the library differ on {encoder.differing} words")
+            decoded = [encoder.library.decode(np.frombuffer(one, np.int32).tolist()) for one in packed]
+            ends = np.cumsum([0] + [len(one) // 4 for one in packed]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends), values)
+            columns = [part.column(0), ids, pa.array(decoded, pa.string())]
+            yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"])
+
+
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: the ids of every whole text and the text they decode to.
 
@@ -255,23 +272,12 @@ def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     and null doc_ids are encoded like any other; other columns are not read; an empty
     table gives an empty result. Nothing is shuffled; texts are encoded in Arrow
     batches, and every distinct word of a batch that is not cached is encoded by the agenda
-    and checked against the library. Decoding is the library's.
+    and checked against the library; the query fails if they differ. Decoding is the library's.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_at(model)
-        for batch in batches:
-            # Slices bound what is in memory as words and ids.
-            for low in range(0, batch.num_rows, SLICE):
-                part = batch.slice(low, SLICE)
-                packed = encoder.encode_packed(part.column(1).to_pylist())
-                decoded = [encoder.library.decode(np.frombuffer(one, np.int32).tolist()) for one in packed]
-                ends = np.cumsum([0] + [len(one) // 4 for one in packed]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(ends), values)
-                columns = [part.column(0), ids, pa.array(decoded, pa.string())]
-                yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"])
+        return _encoded(batches, encoder_at(model))
 
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.mapInArrow(encoded, f"doc_id {id_type}, ids array<int>, decoded string")

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import awkward, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultlens.llm import skip_chain
+from faultlens.llm import piece_agenda, skip_chain
 from faultlens.llm.harmonic_packing import cut_lengths, pack_documents, tokenizer_at
 from faultlens.llm.host_suffixes import blocks_of, extract_main_text, host_of
 from faultlens.llm.kd_shards import shard_documents
@@ -168,6 +169,16 @@ def test_encode_and_decode(spark):
     assert encode_and_decode(docs.limit(0), PIECES).count() == 0
 
 
+def test_a_wrong_agenda_is_an_error(monkeypatch):
+    encoder = piece_agenda.AgendaEncoder(PIECES)
+    batch = pa.record_batch([pa.array([1]), pa.array(["some words"])], names=["doc_id", "text"])
+    assert next(piece_agenda._encoded(iter([batch]), encoder)).num_rows == 1
+    monkeypatch.setattr(encoder, "_agendas", lambda words: [(0,) for _ in words])
+    other = pa.record_batch([pa.array([2]), pa.array(["other text"])], names=["doc_id", "text"])
+    with pytest.raises(ValueError, match="differ"):
+        list(piece_agenda._encoded(iter([other]), encoder))
+
+
 def test_cached_tokenizer_equals_the_library():
     texts = ODD + random_texts(11, 3000)
     library = Tokenizer.from_file(BYTES)
