@@ -15,9 +15,12 @@ from faultlens.llm.harmonic_packing import pack_documents
 from faultlens.llm.host_suffixes import extract_main_text
 from faultlens.llm.kd_shards import shard_documents
 from faultlens.llm.line_runs import dedup_lines
+from faultlens.llm.merkle_pivot import merkle_manifest, siblings
 from faultlens.llm.nn_descent import embedding_groups
 from faultlens.llm.piece_agenda import encode_and_decode
 from faultlens.llm.simhash import near_duplicates
+from faultlens.llm.threshold_search import top_inner_products
+from faultlens.llm.token_alignment import score_alignments, sha256_of_groups
 from faultlens.llm.weak_toxicity import HELD_OUT, fit, fold_of, score_documents
 
 
@@ -100,6 +103,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth embedding."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in two vocabularies, aligned, and how common their pairs are."""
+    files = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = score_alignments(table(spark, sf_dir, "documents"), *files, written=sha256_of_groups)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, some of them tampered with."""
+    found = merkle_manifest(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -111,4 +140,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_topk": op11_topk,
+    "op12_alignment": op12_alignment,
+    "op13_merkle": op13_merkle,
 }
