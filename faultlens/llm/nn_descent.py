@@ -347,8 +347,9 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     vectors = pin(_unit_vectors(table))
     classes = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    classes = pin(classes)
-    points = classes.select(F.col("rep").alias("vec_id"), "vector")
+    # Classes have numbers of their own: different vectors may share a vec_id.
+    classes = pin(classes.withColumn("key", F.monotonically_increasing_id()))
+    points = classes.select(F.col("key").alias("vec_id"), "vector")
     light = pin(_in_single(points))
     rows = classes.count()
     pairs = _both_ways(_first_links(_orders(points, rows, SEED), 2))
@@ -364,15 +365,16 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     missed = pin(_cross_links(points, parts, threshold))
     if not missed.isEmpty():
         parts = pin(connected_components(links.unionByName(missed)))
-    members = parts.join(classes, F.col("id") == F.col("rep"))
-    members = pin(members.select("component", F.col("id").alias("vec_id"), "weight", "vector"))
-    counts = _link_counts(members, threshold)
-    found = members.select("vec_id", "component").join(counts, "vec_id", "left")
+    members = parts.join(classes, F.col("id") == F.col("key"))
+    members = pin(members.select("component", F.col("id").alias("vec_id"), "rep", "weight", "vector"))
+    least = pin(members.groupBy("component").agg(F.min("rep").alias("least")))
+    counts = pin(_link_counts(members, threshold))
+    found = members.select("vec_id", "component").join(counts, "vec_id").join(least, "component")
     named = pin(
-        classes.join(found, F.col("rep") == F.col("vec_id"), "left").select(
+        classes.join(found, F.col("key") == F.col("vec_id"), "left").select(
             "vector",
             (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("least", "rep").alias("component_id"),
         )
     )
     linked = vectors.join(named, "vector").select("vec_id", "n_links", "component_id")

@@ -194,6 +194,14 @@ def test_embedding_groups_of_nothing(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(4, 0, 4, True), (None, 0, None, None), (2, 0, 2, True)], key=str)
 
 
+def test_embeddings_that_share_a_vec_id(spark):
+    vectors = [[1.0, 0.0], [0.99, 0.1], [1.0, 0.05], [0.0, 1.0], [0.0, 1.0], [-1.0, 0.0]]
+    found = embedding_groups(embeddings(spark, vectors, [7, 7, 2, 3, 3, 7])).collect()
+    # Rows of their own: three linked ones, two equal ones, and one that is alone.
+    wanted = [(7, 2, 2, False), (7, 2, 2, False), (2, 2, 2, True), (3, 1, 3, True), (3, 1, 3, True), (7, 0, 7, True)]
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
 def test_embedding_groups_that_fill_each_others_lists(spark, monkeypatch):
     """Links between two dense groups rank below all links inside them."""
     monkeypatch.setattr(nn_descent, "SLAB_BYTES", 128 << 10, raising=False)
