@@ -20,6 +20,8 @@ TOLERANCE = 1e-3
 SLOT_ROWS = 1 << 15
 # Coordinates are whole numbers below 2 ** COORD_BITS.
 COORD_BITS = 40
+# Bits of a tie that tell equal rows apart.
+ROW_BITS = 16
 DIMENSIONS = ("by_size", "by_language", "by_source", "by_id")
 
 
@@ -51,8 +53,11 @@ def _coordinates(docs: DataFrame) -> DataFrame:
         _hashed(column("source")).alias("by_source"),
         _hashed(F.struct(F.col("doc_id"), F.lit("id"))).alias("by_id"),
     )
-    # Ties in a dimension are told apart by this.
-    return rows.withColumn("tie", _hashed(F.struct("doc_id", "text_crc32", "size")))
+    # Ties in a dimension are told apart by this: rows by what they hold, and rows
+    # that are equal by their number, which is written with them.
+    of_row = F.shiftleft(F.shiftright(_hashed(F.struct("doc_id", "text_crc32", "size")), ROW_BITS), ROW_BITS)
+    number = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+    return rows.withColumn("tie", of_row.bitwiseOR(number))
 
 
 def _spans(rows: DataFrame) -> dict[int, dict]:
@@ -71,15 +76,15 @@ def _chosen(cases: dict[int, object], default) -> Column:
 
 
 def _medians(rows: DataFrame, column: str, wanted: dict[int, float], ends: dict[int, tuple[int, int]],
-             slack: float) -> dict[int, tuple[int, int, float]]:
-    """Per node, a value and the bytes below it, as near to ``wanted`` bytes as values allow.
+             slack: float) -> dict[int, tuple[int, int, float, float]]:
+    """Per node, an interval of values, the bytes below it and in it, round ``wanted`` bytes.
 
     Rounds of histograms narrow the interval that holds the weighted quantile. A
     round sends at most ``SHARDS * BINS`` sums to the driver, and takes a
-    factor of ``BINS`` off the interval. Gives ``(low, high, bytes below low)``:
+    factor of ``BINS`` off the interval. Gives ``(low, high, bytes below low, bytes between)``:
     the quantile lies in ``[low, high)``, one value, or bytes within the slack.
     """
-    state = {n: (ends[n][0], ends[n][1] + 1, 0.0) for n in wanted}
+    state = {n: (ends[n][0], ends[n][1] + 1, 0.0, 0.0) for n in wanted}
     live = set(wanted)
     while live:
         low = _chosen({n: state[n][0] for n in live}, 0)
@@ -91,7 +96,7 @@ def _medians(rows: DataFrame, column: str, wanted: dict[int, float], ends: dict[
         for row in sums.agg(F.sum("size").alias("bytes")).collect():
             by_node.setdefault(row["first"], []).append((row["bin"], row["bytes"]))
         for n in list(live):
-            low_n, high_n, below = state[n]
+            low_n, high_n, below, _ = state[n]
             step = max(1, -(-(high_n - low_n) // BINS))
             bins = sorted(by_node.get(n, []))
             hit, weight = (bins[-1] if bins else (0, 0))
@@ -102,7 +107,7 @@ def _medians(rows: DataFrame, column: str, wanted: dict[int, float], ends: dict[
                 below += size
             else:
                 below -= weight
-            state[n] = (low_n + hit * step, min(high_n, low_n + (hit + 1) * step), below)
+            state[n] = (low_n + hit * step, min(high_n, low_n + (hit + 1) * step), below, weight)
             if step == 1 or weight <= slack or not bins:
                 live.discard(n)
     return state
@@ -135,7 +140,8 @@ def _split(rows: DataFrame, nodes: list[Node], slack: float) -> tuple[DataFrame,
     rest = {n: max(0.0, wanted[n] - v[2]) for n, v in first.items()}
     whole = {n: (0, (1 << COORD_BITS) - 1) for n in first}
     second = _medians(tied, "tie", rest, whole, slack)
-    edge = _chosen({n: v[1] for n, v in second.items()}, 0)
+    # The row on the edge goes to the side that it leaves nearer to its share.
+    edge = _chosen({n: v[1] if rest[n] - v[2] >= v[3] / 2 else v[0] for n, v in second.items()}, 0)
 
     left = (F.col("along") < low) | ((F.col("along") < high) & (F.col("tie") < edge))
     halves = _chosen({n.first: n.leaves // 2 for n in cut}, 0)
@@ -155,7 +161,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     logarithm of the size, language, source and doc_id; the latter three
     are spread by a hash, and a table without lang or source has them constant.
     Rows with nulls lie where the null hashes to. Repeated rows are rows of
-    their own, and tie. An empty table gives an empty result.
+    their own, told apart by their number, so a table of equal rows is dealt evenly too;
+    rows with equal texts may lie in several shards, as the law is about bytes. An empty table gives an empty result.
 
     Only metadata is kept from the texts, written once. A node is cut at the
     weighted quantile of its widest dimension that leaves its halves with

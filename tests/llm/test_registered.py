@@ -69,6 +69,8 @@ def test_shards(spark, docs):
         data = docs[row.doc_id].encode()
         assert (row["size"], row.text_crc32, row.law) == (len(data) + 8, zlib.crc32(data), "bytes")
         assert 0 <= row.shard < 24 and row.grown_shard is None
+    sizes = [sum(row["size"] for row in rows if row.shard == n) for n in range(24)]
+    assert max(sizes) - min(sizes) <= max(row["size"] for row in rows)
 
 
 def test_simhash(spark, docs):
