@@ -21,7 +21,8 @@ END_ID = 1
 # A piece of at most this share of the capacity goes to its class as it is;
 # longer ones are cut at a class's upper end, so that bins of the class are full.
 WHOLE_SHARE = 16
-CACHE_ENTRIES = 300_000
+# Words kept, at most twice that many, and the longest of them in characters.
+CACHE_ENTRIES, CACHE_POINTS = 60_000, 64
 # Fixed value: how byte-level vocabularies of this kind cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_FIELDS = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -57,18 +58,23 @@ class CachedTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        if len(self.words) > CACHE_ENTRIES:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
         for text in texts:
             if _SPECIAL in text or "\0" in text or _ODD_SPACE.search(text):
                 yield self._encode(text)
                 continue
+            words, older = self.words, self.older
             # "a b" is cut into "a" and " b".
             cut = text.replace(" ", "\0 ").split("\0")
-            for word in set(cut).difference(words):
+            met = set(cut).difference(words)
+            for word in met:
                 words[word] = older.get(word) or self._encode_word(word)
             yield b"".join(map(words.__getitem__, cut))
+            for word in met:
+                if len(word) > CACHE_POINTS:
+                    del words[word]
+            if len(words) > CACHE_ENTRIES:
+                # A text with very many words is not worth keeping.
+                self.older, self.words = words if len(words) <= 2 * CACHE_ENTRIES else {}, {}
 
 
 def _fast_encoder(library: Tokenizer) -> Callable[[str], list[int]]:

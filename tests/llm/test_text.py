@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faultlens.llm import piece_agenda, skip_chain
+from faultlens.llm import harmonic_packing
 from faultlens.llm.harmonic_packing import cut_lengths, pack_documents, tokenizer_at
 from faultlens.llm.host_suffixes import blocks_of, extract_main_text, host_of
 from faultlens.llm.kd_shards import shard_documents
@@ -134,6 +135,15 @@ def test_shards(spark):
     assert max(sizes) - min(sizes) <= 2 * (808 + 0.02 * mean)
 
 
+def test_shards_of_equal_rows(spark):
+    rows = [(None, "same", "en", "s", 4)] * 600 + [(5, "same text", "en", "s", 9)] * 900 + [(n, "x" * (n % 90), "en", "s", 1) for n in range(600)]
+    found = shards_of(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    sizes = [0] * 24
+    for row in found:
+        sizes[row.shard] += row["size"]
+    assert len(found) == len(rows) and max(sizes) - min(sizes) <= 2 * 98
+
+
 def test_shards_awkward(spark):
     docs = awkward(spark)
     rows = shards_of(docs)
@@ -186,6 +196,16 @@ def test_cached_tokenizer_equals_the_library():
     assert list(tokenizer_at(BYTES).encode(texts)) == wanted
 
 
+def test_cached_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(harmonic_packing, "CACHE_ENTRIES", 100)
+    encoder = harmonic_packing.CachedTokenizer(BYTES)
+    texts = random_texts(12, 300) + [" ".join(map(str, range(50_000))), "a b " + "c" * 1000, "a b"]
+    wanted = [encoder._encode(text) for text in texts]
+    assert list(encoder.encode(texts)) == wanted
+    assert len(encoder.words) <= 100 and len(encoder.older) <= 200
+    assert max(map(len, [*encoder.words, *encoder.older])) <= harmonic_packing.CACHE_POINTS
+
+
 def test_cuts():
     for tokens in (*range(1, 6200), 100_000):
         lengths = cut_lengths(tokens)
