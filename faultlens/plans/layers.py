@@ -76,15 +76,19 @@ def assembled(
     bounds: DataFrame | Span | None,
     catalog: DataFrame | None,
     options: Options,
+    kept: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | Span]:
     """Errors of all layers, and the bounds used.
 
     ``trace`` has the markers and error lines of the marker logs and command traces,
-    ``others`` the error lines of the other layers by rule alone. Tables
+    ``others`` the error lines of the other layers by rule alone. ``kept`` has the paths of
+    the traces whose errors count; bounds come from all of them. Tables
     and files both end here.
     """
     if bounds is None:
         bounds = command_bounds(trace, command, as_of, catalog, options.fix_noon)
+    if kept is not None:
+        trace = trace.join(kept, "path", "left_semi").select(*trace.columns)
     stamped = stamp_errors(others, options)
     errors = trace_errors(trace, command, options).unionByName(
         windowed_errors(stamped, bounds, as_of, options)

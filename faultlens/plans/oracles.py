@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Written out here on purpose: a wrong constant in the library must not be wrong on
+# Fixed values, written out here on purpose: a wrong constant in the library must not be wrong on
 # both sides.
 _START, _END = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"
 _AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -228,6 +228,17 @@ _NUMBERED = (
     " AS nth, line FROM errors"
 )
 
+# Directories of three runs, listed from the last to the first, the first without the
+# last node. Of the traces in a directory, that of its last node tells the bounds.
+_RUNS_LINES = _RUN_LINES.replace("log_lines AS (", "all_lines AS (") + """,
+log_lines AS (
+  SELECT * REPLACE ('run' || (row_id % 3 + 1) AS source_dir, 'run' || (row_id % 3 + 1) || '/' || path AS path)
+  FROM all_lines WHERE row_id % 3 > 0 OR node <> 'node4')"""
+_RUNS_BOUNDS = _BOUNDS.replace("bounds AS (", "trace_bounds AS (") + """,
+bounds AS (
+  SELECT source_dir, arg_max(start_ts, node) AS start_ts, arg_max(end_ts, node) AS end_ts
+  FROM trace_bounds GROUP BY source_dir)"""
+
 ORACLES: dict[str, str] = {
     "scan_log_lines": (
         f"{_ON_EVENTS} SELECT node, layer, row_number() OVER (PARTITION BY path ORDER BY row_id)"
@@ -327,6 +338,12 @@ ORACLES: dict[str, str] = {
         " FROM run_lines SEMI JOIN latest USING (node, layer, path) WHERE "
         + " OR ".join(map(_rule_errors, _RULES))
     ),
+    "last_wins_files": (
+        f"WITH {_RUNS_LINES}, {_RUNS_BOUNDS}, {_ERRORS}, latest AS (SELECT node, layer,"
+        " min(source_dir) AS source_dir FROM log_lines GROUP BY node, layer)"
+        " SELECT node, layer, source_dir AS run, line FROM errors SEMI JOIN latest"
+        " USING (node, layer, source_dir)"
+    ),
     "full_run": f"{_ON_RUN}, {_ZERO_FILLED} {_REPORT}",
     "full_run_table": f"{_ON_RUN}, {_ZERO_FILLED} {_REPORT}",
     "full_run_details": _NUMBERED,

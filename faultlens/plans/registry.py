@@ -32,13 +32,14 @@ from faultlens.operators.bounds import command_bounds, wall_clock, with_bounds
 from faultlens.operators.brackets import within_command
 from faultlens.plans import layers
 from faultlens.plans.report import FaultReport, analyze_conf
-from faultlens.runtime import new_shared_path, pin
+from faultlens.runtime import new_shared_path, pin, written_once
 from faultlens.sources import logs, sinks
 from faultlens.sources.tables import (
     event_catalog,
     event_log_lines,
     latest_run_lines,
     order_log_lines,
+    run_log_lines,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,14 +71,25 @@ def _of_layer(spark: SparkSession, sf_dir: str, layer: str) -> DataFrame:
 # Sources
 
 
-def _rendered(lines: DataFrame) -> tuple[str, str]:
-    """Write lines as log directories; the root, and a file that lists the directories."""
-    spark = lines.sparkSession
-    root, conf = (new_shared_path(spark, name) for name in ("logs", "dir-list"))
-    sinks.write_log_dirs(lines, root)
-    listed = F.concat(F.lit(f"{root}/source_dir="), "source_dir").alias("value")
-    lines.select(listed).distinct().write.text(conf)
-    return root, conf
+def _rendered(
+    spark: SparkSession, kind: str, sf_dir: str, lines: Callable[[], DataFrame], backwards: bool = False
+) -> tuple[str, str]:
+    """Lines as log directories, written once in a session; the root, and a file that lists the directories.
+
+    ``backwards``: the list names the directories from the last to the first.
+    """
+
+    def write() -> tuple[str, str]:
+        rows = lines()
+        root, conf = (new_shared_path(spark, name) for name in ("logs", "dir-list"))
+        sinks.write_log_dirs(rows, root)
+        listed = F.concat(F.lit(f"{root}/source_dir="), "source_dir").alias("value")
+        order = F.desc("value") if backwards else F.asc("value")
+        # One file, a row per directory, in order.
+        rows.select(listed).distinct().coalesce(1).sortWithinPartitions(order).write.text(conf)
+        return root, conf
+
+    return written_once(spark, (kind, sf_dir), write)
 
 
 def _listed(spark: SparkSession, conf: str) -> list[str]:
@@ -85,32 +97,29 @@ def _listed(spark: SparkSession, conf: str) -> list[str]:
 
 
 def scan_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines written in many parts and scanned; their order is told by what is before them."""
-    lines = event_log_lines(spark, sf_dir).repartition(8)
-    _, conf = _rendered(lines)
-    dirs = _listed(spark, conf)
-    own = [logs.qualified(spark, path) for path in dirs]
-    found = pin(logs.scan_log_lines(logs.open_logs(spark, dirs), dirs=own))
-    order = Window.partitionBy("path", "part", "block_start").orderBy("row_id")
-    # Numbers inside a split, on top of the lines of the splits before it.
-    splits = found.groupBy("path", "part", "block_start").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("path").orderBy("part", "block_start")
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    numbered = found.withColumn("nth", F.row_number().over(order))
-    numbered = numbered.join(splits.drop("n"), ["path", "part", "block_start"])
-    return numbered.select("node", "layer", (F.col("nth") + F.col("before")).alias("line_number"), "line")
+    """Lines written in many parts and scanned, numbered in their logs."""
+    _, conf = _rendered(spark, "scan", sf_dir, lambda: event_log_lines(spark, sf_dir).repartition(8))
+    found = logs.list_logs(spark, _listed(spark, conf)).select("path", "in_parts").collect()
+    numbered = logs.number_lines(logs.scan_listed(spark, map(tuple, found)))
+    return numbered.select("node", "layer", "line_number", "line")
 
 
 def log_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs with sizes, one of them empty, beside a nested backup that does not count."""
-    lines = event_log_lines(spark, sf_dir).filter("path <> 'cfglog.node1'")
-    root, conf = _rendered(lines)
-    node = f"{root}/source_dir=node1"
-    nothing = spark.createDataFrame([], "value string")
-    nothing.coalesce(1).write.text(f"{node}/log=cfglog.node1")
-    backup = lines.filter("path = 'pool.log.node1'").select(F.col("line").alias("value"))
-    backup.write.text(f"{node}/old/log=pool.log.node1")
+
+    def lines() -> DataFrame:
+        return event_log_lines(spark, sf_dir).filter("path <> 'cfglog.node1'")
+
+    def write() -> str:
+        root, conf = _rendered(spark, "some", sf_dir, lines)
+        node = f"{root}/source_dir=node1"
+        nothing = spark.createDataFrame([], "value string")
+        nothing.coalesce(1).write.text(f"{node}/log=cfglog.node1")
+        backup = lines().filter("path = 'pool.log.node1'").select(F.col("line").alias("value"))
+        backup.write.text(f"{node}/old/log=pool.log.node1")
+        return conf
+
+    conf = written_once(spark, ("catalog", sf_dir), write)
     found = logs.log_catalog(spark, _listed(spark, conf))
     return found.select("file_name", "node", "layer", "size")
 
@@ -293,8 +302,7 @@ def _run_errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def _file_report(spark: SparkSession, sf_dir: str) -> FaultReport:
     """The whole run over files: lines written out of order in many parts, a directory list."""
-    lines = event_log_lines(spark, sf_dir, True).repartition(8)
-    _, conf = _rendered(lines)
+    _, conf = _rendered(spark, "run", sf_dir, lambda: event_log_lines(spark, sf_dir, True).repartition(8))
     return analyze_conf(spark, conf, as_of=AS_OF)
 
 
@@ -382,6 +390,16 @@ def latest_file_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(lines.filter(by_layer(F.col("layer"), error_rules(F.col("line")))), "path")
 
 
+def last_wins_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the directories of several runs that hold the same logs, listed from the last to the
+    first: of each node and layer, the log of the directory listed last counts."""
+    lines = lambda: run_log_lines(spark, sf_dir).repartition(8)
+    _, conf = _rendered(spark, "runs", sf_dir, lines, backwards=True)
+    report = analyze_conf(spark, conf, as_of=AS_OF, on_duplicate="last")
+    run = F.regexp_extract("source_dir", r"source_dir=([^/]*)$", 1).alias("run")
+    return report.details().join(report.catalog.select("source_dir", "path"), "path").select("node", "layer", run, "line")
+
+
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a run over log files, from the list of directories to both views."""
     return _file_report(spark, sf_dir).counts()
@@ -401,9 +419,10 @@ def full_run_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_run_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors kept once and used twice: the lines of each layer beside their count."""
-    report = _file_report(spark, sf_dir).persist()
-    counts = report.matrix().withColumnRenamed("errors", "of_pair")
-    return report.details().select("node", "layer", "line").join(counts, ["node", "layer"])
+    with _file_report(spark, sf_dir).persist() as report:
+        counts = report.matrix().withColumnRenamed("errors", "of_pair")
+        both = report.details().select("node", "layer", "line").join(counts, ["node", "layer"])
+        return pin(both)
 
 
 QUERIES: dict[str, Query] = {
@@ -451,6 +470,7 @@ QUERIES: dict[str, Query] = {
     "error_details_written": error_details_written,
     "ioscli_error_lines": ioscli_error_lines,
     "latest_file_per_pair": latest_file_per_pair,
+    "last_wins_files": last_wins_files,
     "full_run": full_run,
     "full_run_table": full_run_table,
     "full_run_details": full_run_details,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark import StorageLevel
@@ -17,8 +16,8 @@ from faultlens.model import DEFAULT_COMMAND, IOSCLI, LAYERS, Options
 from faultlens.operators import views
 from faultlens.operators.bounds import is_marker_log
 from faultlens.plans.layers import assembled, is_trace_line
-from faultlens.runtime import pin, pinned, release
-from faultlens.sources.logs import catalog_of, open_logs, qualified, read_dir_list, scan_log_lines
+from faultlens.runtime import Scratch, pin
+from faultlens.sources.logs import list_logs, read_dir_list, scan_listed
 from faultlens.sources.sinks import write_count_report, write_error_details
 
 
@@ -29,8 +28,8 @@ class FaultReport:
     errors: DataFrame
     catalog: DataFrame
     bounds: DataFrame
-    # Copies in the shared folder that were there before this report's.
-    mark: int | None = None
+    # What the run has written to the shared folder.
+    scratch: Scratch | None = None
 
     def matrix(self) -> DataFrame:
         """Errors per node and layer, zeros included."""
@@ -53,9 +52,12 @@ class FaultReport:
         return views.error_details(self.errors)
 
     def write(self, path: str, details_format: str = "parquet") -> None:
-        """Write counts and error lines below ``path``."""
-        write_count_report(self.matrix(), f"{path}/counts")
-        write_error_details(self.errors, f"{path}/details", details_format)
+        """Write counts and error lines below ``path``, from one evaluation of the errors."""
+        with Scratch(self.errors.sparkSession).collecting() as own:
+            errors = pin(self.errors, compact=True)
+            write_count_report(views.error_matrix(errors, self.catalog), f"{path}/counts")
+            write_error_details(errors, f"{path}/details", details_format)
+            own.close()
 
     def persist(self) -> FaultReport:
         """Keep the errors for several views; the logs are then read once."""
@@ -65,11 +67,27 @@ class FaultReport:
     def unpersist(self) -> None:
         self.errors.unpersist()
 
+    def share(self) -> FaultReport:
+        """The same report for one more user, who closes it too."""
+        if self.scratch is not None:
+            self.scratch.share()
+        return self
+
     def close(self) -> None:
-        """Drop kept errors and what the run has written to the shared folder."""
-        self.unpersist()
-        if self.mark is not None:
-            release(self.errors.sparkSession, self.mark)
+        """Drop kept errors and, with the last user, what the run has written.
+
+        Other reports are not touched, in whatever order they are closed.
+        """
+        if self.scratch is None or self.scratch.users <= 1:
+            self.unpersist()
+        if self.scratch is not None:
+            self.scratch.close()
+
+    def __enter__(self) -> FaultReport:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
 
 def _now(spark: SparkSession) -> str:
@@ -91,52 +109,45 @@ def analyze_directories(
 
     Logs are files directly in a directory, or directories of part files there;
     ``nested`` takes those further below as well. The directories are listed once
-    and every log file is read once, by the branch of its layer, which tests that
-    layer's rule alone; files of unknown layers are not opened. From the command
+    and every log file is read once, by the scan of its layer, which is handed the logs
+    of that layer and tests its rule alone; files of unknown layers are not opened. From the command
     traces, markers and error lines are written to the shared folder, as bounds and
-    brackets both need them; they stay until :meth:`FaultReport.close`.
+    brackets both need them; they stay until :meth:`FaultReport.close`, and go at once if the run fails.
 
     ``on_duplicate``: ``union`` of all logs of one node and layer, or the ``last``
-    one in the order of the directories; the others are then not opened.
+    one in the order of the directories; the others are then not opened, but for
+    the command traces, as each directory has bounds of its own.
     """
     if on_duplicate not in ("union", "last"):
         raise ValueError(f"on_duplicate: {on_duplicate!r}")
     as_of = as_of or _now(spark)
-    mark = pinned()
-    dirs = list(dict.fromkeys(dirs))
-    own = None if nested else [qualified(spark, path) for path in dirs]
-    logs = open_logs(spark, dirs)
-    catalog = catalog_of(spark, logs.inputFiles(), options.suffix_only, own)
-    chosen = None
-    if on_duplicate == "last":
-        places = [qualified(spark, path) for path in dirs]
-        index = spark.createDataFrame(list(enumerate(places)), "dir_index int, listed string")
-        inside = F.startswith(F.concat("source_dir", F.lit("/")), F.concat("listed", F.lit("/")))
-        if nested:
-            placed = catalog.join(index, inside, "left")
-        else:
-            placed = catalog.join(index, F.col("source_dir") == F.col("listed"), "left")
-        # One path per node and layer, known before a log is opened.
-        rows = views.latest_logs(placed.filter(F.col("layer").isin(*LAYERS))).collect()
-        chosen = F.col("path").isin(*(row.path for row in rows))
-
-    def scan(layers: list[str], **more) -> DataFrame:
-        return scan_log_lines(logs, layers, suffix_only=options.suffix_only, dirs=own, **more)
-
-    rules = error_rules(F.col("line"), options.strict)
-    trace = scan([IOSCLI], which=is_marker_log(F.col("file_name")), where=is_trace_line(command, options))
-    others = [scan([layer], where=rules[layer]) for layer in LAYERS if layer != IOSCLI]
-    if chosen is not None:
-        # Bounds still come from every marker log, as each directory has its own.
-        others = [lines.filter(chosen) for lines in others]
-    trace = pin(trace, compact=True)
-    errors, bounds = assembled(
-        trace, reduce(DataFrame.unionByName, others), command, as_of, None, catalog, options
-    )
-    if chosen is not None:
-        errors = errors.filter(chosen)
-        catalog = catalog.filter(chosen)
-    return FaultReport(errors, catalog, bounds, mark)
+    with Scratch(spark).collecting() as scratch:
+        catalog = list_logs(spark, dirs, options.suffix_only, nested)
+        marker = is_marker_log(F.col("file_name"))
+        known = catalog.filter(F.col("layer").isin(*LAYERS))
+        kept = views.latest_logs(known).select("path") if on_duplicate == "last" else None
+        if kept is not None:
+            known = known.join(kept, "path", "left_semi")
+        # A row per log that is read; the driver has listed them.
+        chosen: dict[str, list[tuple[str, bool]]] = {layer: [] for layer in LAYERS}
+        for row in known.select("layer", "path", "in_parts").collect():
+            chosen[row.layer].append((row.path, row.in_parts))
+        traced = catalog.filter((F.col("layer") == IOSCLI) | marker).select("path", "in_parts").distinct()
+        traces = [tuple(row) for row in traced.collect()]
+
+        rules = error_rules(F.col("line"), options.strict)
+        more = {"suffix_only": options.suffix_only}
+        trace = scan_listed(spark, traces, [IOSCLI], which=marker, where=is_trace_line(command, options), **more)
+        others = None
+        for layer in LAYERS:
+            if layer != IOSCLI:
+                one = scan_listed(spark, chosen[layer], [layer], where=rules[layer], **more)
+                others = one if others is None else others.unionByName(one)
+        trace = pin(trace, compact=True)
+        errors, bounds = assembled(trace, others, command, as_of, None, catalog, options, kept)
+        if kept is not None:
+            catalog = catalog.join(kept, "path", "left_semi")
+    return FaultReport(errors, catalog, bounds, scratch)
 
 
 def analyze_conf(spark: SparkSession, conf: str, **more) -> FaultReport:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.names import layer_of, node_of
@@ -17,6 +20,15 @@ LOG_PATH = r"(?s)^(.*)/(?:[^/=]*=(?=[^/]*/part-))?((?!part-)[^/]+)(?:/(part-[^/]
 PART_FILE = r"/part-[^/]*$"
 PART_NUMBER = r"^part-(?:[a-z]-)?(\d+)"
 
+# Directories listed at the same time.
+LISTERS = 16
+# How a file status spells itself.
+_STATUS = re.compile(r"\{path=(.*?); isDirectory=(true|false);(?: length=(\d+);)?", re.S)
+_GLOB = re.compile(r"([\\{}\[\]*?])")
+CATALOG_SCHEMA = pa.schema(
+    [("file_path", pa.string()), ("in_parts", pa.bool_()), ("size", pa.int64()), ("dir_index", pa.int32())]
+)
+
 
 def read_dir_list(spark: SparkSession, conf: str | list[str]) -> DataFrame:
     """Log directories from a text file with one path per line."""
@@ -33,10 +45,13 @@ def part_key(part: Column) -> Column:
     return F.concat_ws(" ", F.lpad(F.length(number).cast("string"), 3, "0"), number, part)
 
 
-def _log_parts(file_path: Column, suffix_only: bool) -> dict[str, Column]:
-    """What a file's path, as file metadata spells it, says about its log."""
-    # Blanks and the like are spelled %xx, but "+" is left alone.
-    path = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+def _decoded(file_path: Column) -> Column:
+    """A path that file metadata spells: blanks and the like as %xx, but "+" is left alone."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
+
+def _log_parts(path: Column, suffix_only: bool) -> dict[str, Column]:
+    """What a file's path says about its log."""
     name = F.regexp_extract(path, LOG_PATH, 2)
     part = F.regexp_extract(path, LOG_PATH, 3)
     return {
@@ -49,6 +64,21 @@ def _log_parts(file_path: Column, suffix_only: bool) -> dict[str, Column]:
     }
 
 
+def _children(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
+    """Path, whether it is a directory, and size of what stands in a directory, hidden names left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    # All statuses in one answer, however many there are.
+    statuses = own.getFileSystem(conf).listStatusIterator(own)
+    listed = jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(statuses)
+    found = []
+    for child, directory, size in _STATUS.findall(listed.toString()):
+        name = child.rpartition("/")[2]
+        if not name.startswith(".") and (not name.startswith("_") or "=" in name):
+            found.append((child, directory == "true", int(size or 0)))
+    return found
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path as file metadata spells it, decoded."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -56,9 +86,62 @@ def qualified(spark: SparkSession, path: str) -> str:
     return own.getFileSystem(conf).makeQualified(own).toString()
 
 
-def of_directories(dirs: Iterable[str]) -> Column:
-    """Whether a row's ``source_dir`` is one of the (qualified) directories themselves."""
-    return F.col("source_dir").isin(*dirs)
+def list_logs(
+    spark: SparkSession, dirs: Iterable[str], suffix_only: bool = False, nested: bool = False
+) -> DataFrame:
+    """One row per log with its names, size, directory and whether it is in parts.
+
+    Logs are files directly in the directories, or directories of part files there: two
+    levels are listed and nothing below them. ``nested`` goes all the way down; a
+    directory below another listed one is then listed once, and its logs are its own.
+    ``dir_index`` is the place of the listed directory. Sizes come with the listing, so no log is opened.
+    The driver holds a row per log, several directories being listed at a time.
+    """
+    places: dict[str, int] = {}
+    for place, path in enumerate(dirs):
+        places.setdefault(qualified(spark, path), place)
+    rows: list[tuple[str, bool, int, int]] = []
+    with ThreadPoolExecutor(LISTERS) as listers:
+        # Directories to list: path, place of the listed one, and whether logs stand in it.
+        ahead = [(path, place, True) for path, place in places.items()]
+        while ahead:
+            listings = list(listers.map(lambda one: _children(spark, one[0]), ahead))
+            following = []
+            for (path, place, holds_logs), children in zip(ahead, listings, strict=True):
+                parts = [size for child, directory, size in children if not directory and _is_part(child)]
+                if parts and (nested or not holds_logs):
+                    rows.append((f"{path}/part-", True, sum(parts), place))
+                if not (holds_logs or nested):
+                    continue
+                for child, directory, size in children:
+                    if directory and not (nested and child in places):
+                        following.append((child, place, nested))
+                    elif not directory and not _is_part(child):
+                        rows.append((child, False, size, place))
+            ahead = following
+    columns = zip(*sorted(set(rows)), strict=True) if rows else [()] * len(CATALOG_SCHEMA)
+    # A table in the plan: choosing among the logs runs no job.
+    logs = spark.createDataFrame(pa.table(list(map(pa.array, columns, CATALOG_SCHEMA.types)), schema=CATALOG_SCHEMA))
+    parts = _log_parts(F.col("file_path"), suffix_only)
+    names = [value.alias(name) for name, value in parts.items() if name != "part"]
+    return logs.select(*names, "size", "dir_index", "in_parts")
+
+
+def _is_part(path: str) -> bool:
+    return path.rpartition("/")[2].startswith("part-")
+
+
+def log_catalog(
+    spark: SparkSession, dirs: Iterable[str], suffix_only: bool = False, nested: bool = False
+) -> DataFrame:
+    """One row per log, empty ones included, with node, layer and size, by :func:`list_logs`."""
+    found = list_logs(spark, dirs, suffix_only, nested)
+    return found.select("source_dir", "path", "file_name", "node", "layer", "size")
+
+
+def _literal(path: str) -> str:
+    """A path that stands for itself where patterns are allowed."""
+    return _GLOB.sub(r"\\\1", path)
 
 
 def open_logs(spark: SparkSession, dirs: Iterable[str]) -> DataFrame:
@@ -66,19 +149,39 @@ def open_logs(spark: SparkSession, dirs: Iterable[str]) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(list(dirs))
 
 
+def scan_listed(
+    spark: SparkSession, logs: Iterable[tuple[str, bool]], layers: Iterable[str] | None = None, **more
+) -> DataFrame:
+    """Lines of the logs ``(path, in_parts)``, as :func:`scan_log_lines` gives them.
+
+    The reader is handed these logs and no others, so that how many there are to choose
+    from is no condition in the plan.
+    """
+    whole, in_parts = [], []
+    for path, parts in logs:
+        (in_parts if parts else whole).append(_literal(path))
+    scans = []
+    if whole:
+        scans.append(spark.read.option("recursiveFileLookup", "true").text(whole))
+    if in_parts:
+        found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+        scans.append(found.text(in_parts))
+    if not scans:
+        kinds = ["string"] * 6 + ["bigint", "bigint", "string"]
+        schema = ", ".join(f"{name} {kind}" for name, kind in zip(LINE_COLUMNS, kinds, strict=True))
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [scan_log_lines(scan, layers, **more) for scan in scans])
+
+
 def scan_log_lines(
     logs: DataFrame,
     layers: Iterable[str] | None = None,
     where: Column | None = None,
     which: Column | None = None,
     suffix_only: bool = False,
-    dirs: Iterable[str] | None = None,
 ) -> DataFrame:
     """Lines of opened logs with node, layer and position.
 
-    ``dirs``: only logs that stand directly in one of these (qualified)
-    directories, not those of directories below them.
-
     ``layers`` and ``which`` (a condition on ``file_name``) select logs; files of
     other logs are not read. ``where`` is a condition on ``line``. It is tested
     first: the conditions on names hold for whole files and cost time per line.
@@ -86,7 +189,7 @@ def scan_log_lines(
     The position is the part file, the start of the split and a number rising
     within the task that reads it.
     """
-    parts = _log_parts(F.col("_metadata.file_path"), suffix_only)
+    parts = _log_parts(_decoded(F.col("_metadata.file_path")), suffix_only)
     lines = logs.withColumnRenamed("value", "line")
     if where is not None:
         lines = lines.filter(where)
@@ -97,8 +200,6 @@ def scan_log_lines(
         lines = lines.filter(F.col("layer").isin(*layers))
     elif which is not None:
         lines = lines.filter(which)
-    if dirs is not None:
-        lines = lines.filter(of_directories(dirs))
     position = {
         "block_start": F.col("_metadata.file_block_start"),
         "row_id": F.monotonically_increasing_id(),
@@ -106,48 +207,18 @@ def scan_log_lines(
     return lines.withColumns(position).select(*LINE_COLUMNS)
 
 
-def catalog_of(
-    spark: SparkSession,
-    files: Iterable[str],
-    suffix_only: bool = False,
-    dirs: Iterable[str] | None = None,
-) -> DataFrame:
-    """One row per log of a listing, with its names.
-
-    Part files are reduced to their logs before anything is made of them, so
-    what goes from the driver to the executors is one row per log. With ``dirs``, only
-    logs that stand directly in one of them.
-    """
-    logs = sorted({re.sub(PART_FILE, "/part-", path) for path in files})
-    paths = spark.createDataFrame([(path,) for path in logs], "file_path string")
-    # A listing writes an absent host as file:///, file metadata as file:/.
-    paths = paths.withColumn("file_path", F.replace("file_path", F.lit(":///"), F.lit(":/")))
-    parts = _log_parts(F.col("file_path"), suffix_only)
-    names = [value.alias(name) for name, value in parts.items() if name != "part"]
-    found = paths.select(*names)
-    return found if dirs is None else found.filter(of_directories(dirs))
-
-
-def log_catalog(
-    spark: SparkSession, dirs: Iterable[str], suffix_only: bool = False, nested: bool = False
-) -> DataFrame:
-    """One row per log, empty ones included, with node, layer and size.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``line_number``, the place of each line in its log, from 1.
 
-    Logs are files directly in the directories, or directories of part files there;
-    ``nested`` takes those further below as well. One listing serves the names,
-    empty files included, and the sizes, which come from file metadata.
+    Lines are numbered within their split and on top of the lines of the splits
+    before it, so a log of any length is many groups; the numbers do not depend on
+    how files were split. Of the splits there is a row each, counted where they are read.
     """
-    dirs = list(dirs)
-    listed = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(dirs)
-    own = None if nested else [qualified(spark, path) for path in dirs]
-    logs = catalog_of(spark, listed.inputFiles(), suffix_only, own)
-    path = _log_parts(F.col("_metadata.file_path"), suffix_only)["path"]
-    sizes = listed.select(path.alias("path"), "length").groupBy("path").agg(F.sum("length").alias("size"))
-    return logs.join(sizes, "path", "left").select(
-        "source_dir",
-        "path",
-        "file_name",
-        "node",
-        "layer",
-        F.coalesce("size", F.lit(0).cast("bigint")).alias("size"),
-    )
+    split = ["path", "part", "block_start"]
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_lines"))
+    earlier = Window.partitionBy("path").orderBy("part", "block_start")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*split, F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*split).orderBy("row_id")
+    numbered = lines.withColumn("_nth", F.row_number().over(inside)).join(counts, split)
+    return numbered.withColumn("line_number", F.col("_nth") + F.col("_before")).select(*lines.columns, "line_number")

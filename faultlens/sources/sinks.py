@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.model import POSITION
 from faultlens.operators.views import count_report, error_details
+from faultlens.runtime import Scratch, pin
 
 
 def write_count_report(matrix: DataFrame, path: str) -> None:
@@ -26,16 +27,19 @@ def write_count_report(matrix: DataFrame, path: str) -> None:
 def write_error_details(errors: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Write the error lines, a directory per node and layer, in line order.
 
-    Lines are dealt out in ranges of node, layer and position, so a pair is a few files,
-    whose numbers follow the lines, and a pair with most of the lines is several
-    tasks. Text output holds the lines alone.
+    The errors are evaluated once, into a copy that goes when the lines are
+    written: the ranges are found in the copy. Lines are dealt out in ranges of node,
+    layer and position, so a pair is a few files, whose numbers follow the lines, and a pair
+    with most of the lines is several tasks. Text output holds the lines alone.
     """
     order = ["node", "layer", "path", *POSITION]
-    details = error_details(errors).drop("heading").repartitionByRange(*order)
-    details = details.sortWithinPartitions(*order)
-    if file_format == "text":
-        details = details.select("node", "layer", F.col("line").alias("value"))
-    details.write.partitionBy("node", "layer").format(file_format).save(path)
+    with Scratch(errors.sparkSession).collecting() as own:
+        details = pin(error_details(errors).drop("heading"), compact=True)
+        details = details.repartitionByRange(*order).sortWithinPartitions(*order)
+        if file_format == "text":
+            details = details.select("node", "layer", F.col("line").alias("value"))
+        details.write.partitionBy("node", "layer").format(file_format).save(path)
+        own.close()
 
 
 def write_log_dirs(lines: DataFrame, path: str) -> None:

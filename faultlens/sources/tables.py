@@ -119,6 +119,17 @@ def latest_run_lines(
     return _log_lines(chosen, _event_line())
 
 
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the logs of several runs, a directory each: every run has all nodes and
+    layers, but for the first one, whose last node has no logs."""
+    run = F.col("event_id") % RUNS
+    events = _events(spark, sf_dir).withColumn("run_number", run)
+    events = events.filter((run > 0) | (F.col("node_number") < NODES - 1))
+    source = F.concat(F.lit("run"), (F.col("run_number") + 1).cast("string"))
+    named = _named(events).withColumns({"source_dir": source, "path": F.concat_ws("/", source, "path")})
+    return _log_lines(named.withColumn("row_id", F.col("event_id")), _event_line(True))
+
+
 def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The logs of :func:`event_log_lines`, told apart by number before they are named."""
     logs = _events(spark, sf_dir).select("node_number", "layer_number").distinct()

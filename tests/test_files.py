@@ -6,9 +6,12 @@ import pytest
 from faultlens import __main__ as command_line
 from faultlens import analyze_conf, analyze_directories
 from faultlens.model import CFGLOG, IOSCLI, LAYERS, POOL, SYSLOG, VIOCMD
-from faultlens.runtime import shared_dir
+from faultlens.plans.registry import QUERIES
+from faultlens.runtime import Scratch, pin, pinned, release, shared_dir, written_once
+from faultlens.sources import logs as log_sources
 from faultlens.sources import sinks
-from faultlens.sources.logs import log_catalog, open_logs, read_dir_list, scan_log_lines
+from faultlens.sources.logs import list_logs, log_catalog, number_lines, open_logs, read_dir_list, scan_log_lines
+from pyspark.sql import functions as F
 
 AS_OF = "2020-01-01 00:00:00"
 START = "Command pv  Started at >>>>>> Oct  10 2015, Sat, 03:11:12"
@@ -196,6 +199,141 @@ def test_last_processed_wins_before_logs_are_opened(spark, tmp_path):
     assert [row.source_dir.rsplit("/", 1)[1] for row in report.catalog.collect()] == ["a"]
 
 
+def test_last_wins_in_the_order_of_the_list(spark, tmp_path):
+    write(tmp_path, {f"{d}/{name}": lines for d in "abc" for name, lines in {
+        "cfglog.n": [f"Error {d}"], "ioscli_global.trace.n": [START, f"rc = 22 {d}", END]}.items()})
+    write(tmp_path, {"b/cfglog.m": ["Error b"], "c/cfglog.m": ["Error c", "Error c"]})
+    dirs = [str(tmp_path / d) for d in "cba"]
+    report = analyze_directories(spark, dirs, as_of=AS_OF, on_duplicate="last")
+    found = sorted((row.node, row.layer, row.line) for row in report.errors.collect())
+    assert found == [("m", CFGLOG, "Error b"), ("n", CFGLOG, "Error a"), ("n", IOSCLI, "rc = 22 a")]
+    assert matrix(report) == {("m", CFGLOG): 1, ("n", CFGLOG): 1, ("n", IOSCLI): 1}
+    # the bounds are still those of every directory
+    assert report.bounds.count() == 3
+    plan = report.matrix()._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_overlapping_directories_give_each_log_once(spark, tmp_path):
+    write(tmp_path, {"a/cfglog.n": ["Error a"], "a/b/cfglog.n": ["Error b"] * 2, "a/b/c/cfglog.n": ["Error c"] * 4})
+    dirs = [str(tmp_path / "a"), str(tmp_path / "a/b"), str(tmp_path / "a")]
+    listed = list_logs(spark, dirs, nested=True).collect()
+    # a log belongs to the listed directory that is nearest
+    assert {(row.path.removeprefix(f"file:{tmp_path}"), row.dir_index) for row in listed} == {
+        ("/a/b/c/cfglog.n", 1), ("/a/b/cfglog.n", 1), ("/a/cfglog.n", 0)}
+    assert matrix(analyze_directories(spark, dirs, as_of=AS_OF, nested=True)) == {("n", CFGLOG): 7}
+    last = analyze_directories(spark, dirs, as_of=AS_OF, nested=True, on_duplicate="last")
+    assert {row.line for row in last.errors.collect()} == {"Error c"}
+
+
+def test_two_levels_are_listed_and_no_more(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"n/cfglog.n": ["Error"], "n/old/cfglog.n": ["Error"], "n/old/older/cfglog.n": ["Error"],
+                     "n/pool.log.n/part-0": ["x"], "n/pool.log.n/_SUCCESS": [], "n/.hidden": ["x"]})
+    listed = []
+    children = log_sources._children
+    monkeypatch.setattr(log_sources, "_children", lambda spark, path: listed.append(path) or children(spark, path))
+    found = log_catalog(spark, [str(tmp_path / "n")])
+    assert sorted((row.file_name, row.size) for row in found.collect()) == [("cfglog.n", 6), ("pool.log.n", 2)]
+    assert sorted(path.removeprefix(f"file:{tmp_path}") for path in listed) == ["/n", "/n/old", "/n/pool.log.n"]
+    # names and sizes are known from the listing alone
+    assert "Scan" not in found._jdf.queryExecution().executedPlan().toString().replace("LocalTableScan", "")
+
+
+def test_names_that_look_like_patterns(spark, tmp_path):
+    write(tmp_path, {"d [1]/cfglog.n*": ["Error"], "d [1]/cfglog.nx": ["Error"] * 2, "d [1]/cfglog.{a,b}": ["Error"]})
+    found = matrix(analyze_directories(spark, [str(tmp_path / "d [1]")], as_of=AS_OF))
+    assert found == {("n*", CFGLOG): 1, ("nx", CFGLOG): 2, ("{a,b}", CFGLOG): 1}
+
+
+def test_many_logs_are_chosen_without_literals(spark, monkeypatch):
+    """100,000 pairs in two directories each: the choice is made in seconds, and only paths go to the reader."""
+    pairs = 100_000
+    rows = [(f"file:/{d}/cfglog.node{n}", False, 1) for d in "ab" for n in range(pairs)]
+    monkeypatch.setattr(log_sources, "_children", lambda spark, path: [r for r in rows if r[0].startswith(f"file:{path[5:]}/")])
+    found = list_logs(spark, ["/b", "/a"])
+    from faultlens.operators.views import latest_logs
+
+    kept = found.join(latest_logs(found).select("path"), "path", "left_semi").select("path").collect()
+    assert len(kept) == pairs and all(row.path.startswith("file:/a/") for row in kept)
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f"line {n} " + "x" * (n % 40) for n in range(3000)]
+    write(tmp_path, {"d/pool.log.n1": lines, "d/pool.log.n2/part-0": lines[:70], "d/pool.log.n2/part-1": lines[70:90]})
+    wanted = {("n1", n + 1, line) for n, line in enumerate(lines)} | {("n2", n + 1, line) for n, line in enumerate(lines[:90])}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4096", "10000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            numbered = number_lines(scan_log_lines(open_logs(spark, [str(tmp_path / "d")])))
+            assert {(row.node, row.line_number, row.line) for row in numbered.collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_reports_are_closed_in_any_order(spark, four_nodes):
+    release(spark)
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
+    for order in ((0, 1), (1, 0)):
+        reports = [analyze_directories(spark, four_nodes, as_of=AS_OF) for _ in range(2)]
+        reports[order[0]].close()
+        assert matrix(reports[order[1]])[("node3", VIOCMD)] == 3
+        reports[order[1]].close()
+        reports[order[1]].close()
+        assert set(os.listdir(shared)) == before
+    with analyze_directories(spark, four_nodes, as_of=AS_OF) as report:
+        report.share().close()
+        assert matrix(report)[("node2", IOSCLI)] == 1
+    assert set(os.listdir(shared)) == before
+
+
+def test_sessions_and_failed_runs_leave_others_alone(spark, four_nodes, tmp_path):
+    release(spark)
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
+    report = analyze_directories(spark, four_nodes, as_of=AS_OF)
+    other = spark.newSession()
+    kept = pin(other.range(3))
+    made = set(os.listdir(shared))
+    with pytest.raises(Exception):
+        with Scratch(spark).collecting():
+            pin(spark.range(2))
+            raise ValueError("later")
+    with pytest.raises(Exception):
+        with Scratch(spark).collecting():
+            pin(spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert set(os.listdir(shared)) == made
+    release(other)
+    assert matrix(report)[("node1", POOL)] == 1
+    report.close()
+    assert set(os.listdir(shared)) == before and kept.columns == ["id"]
+
+
+def test_inputs_are_written_once_until_released(spark):
+    release(spark)
+    calls = []
+
+    def write():
+        calls.append(pin(spark.range(5)))
+        return calls[-1]
+
+    assert written_once(spark, "five", write).count() == written_once(spark, "five", write).count() == 5
+    assert len(calls) == 1 and pinned(spark) == 1
+    release(spark)
+    assert written_once(spark, "five", write).count() == 5 and len(calls) == 2
+    release(spark)
+
+
+@pytest.mark.parametrize("name", ["full_run", "full_run_persisted", "log_catalog", "error_details_written", "last_wins_files"])
+def test_queries_leave_nothing_behind(spark, name):
+    release(spark)
+    before = set(os.listdir(shared_dir(spark)))
+    QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    release(spark)
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_order_of_partitions_does_not_matter(spark, tmp_path, log_table):
     lines = [START, "rc = 22", END, "rc = 33"] * 30
     table = log_table({"d/ioscli_global.trace.n1": lines})
