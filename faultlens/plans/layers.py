@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultlens.functions.rules import (
@@ -29,7 +30,7 @@ from faultlens.model import (
 from faultlens.operators.bounds import command_bounds, is_marker_log, one_span, wall_clock
 from faultlens.operators.brackets import within_command
 from faultlens.operators.timed import in_command_span
-from faultlens.runtime import pin
+from faultlens.runtime import computed_once, pin
 
 Span = tuple[datetime | str, datetime | str]
 
@@ -108,20 +109,41 @@ def dispatch_errors(
 
     Other layers yield nothing. Bounds may be given; otherwise they are found in
     the marker logs. One pass over the table keeps markers and lines that some rule
-    hits; they are written once, and bounds, brackets and windows read only
-    them. A catalogue, if given, saves a pass to list the marker logs.
+    hits; they are written once with what they hit, and bounds, brackets and windows read only
+    them. The same pass lists the marker logs, unless a catalogue does.
     """
-    layer, line = F.col("layer"), F.col("line")
-    of_trace = (layer == IOSCLI) | is_marker_log(F.col("file_name"))
-    rules = error_rules(line, options.strict)
+    layer = F.col("layer")
+    rules = error_rules(F.col("line"), options.strict)
     del rules[IOSCLI]
-    hit = by_layer(layer, rules)
-    wanted = (of_trace & is_trace_line(command, options)) | hit
-    if bounds is None and catalog is None:
-        catalog = lines.filter(is_marker_log(F.col("file_name")))
-    hits = pin(lines.filter(wanted).select(*LINE_COLUMNS), compact=True)
-    trace = hits.filter(of_trace & is_trace_line(command, options))
-    return assembled(trace, hits.filter(hit), command, as_of, bounds, catalog, options)[0]
+    of_trace = (layer == IOSCLI) | is_marker_log(F.col("file_name"))
+    tracked = of_trace & is_trace_line(command, options)
+    trace, others, found = _one_pass(lines, tracked, by_layer(layer, rules), bounds is None and catalog is None)
+    return assembled(trace, others, command, as_of, bounds, catalog if found is None else found, options)[0]
+
+
+def _one_pass(
+    lines: DataFrame, tracked: Column, hit: Column, list_logs: bool
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Lines that are tracked, lines that are hits, and the marker logs if asked for.
+
+    The table is read once, and each rule tested once on a line; the lines that either test
+    keeps are written with both results. Marker logs are observed on the way, as those
+    without markers matter too: they are a row per directory.
+    """
+    spark = lines.sparkSession
+    names = ["source_dir", "path", "file_name"]
+    seen = Observation() if list_logs else None
+    if seen is not None:
+        log = F.when(is_marker_log(F.col("file_name")), F.struct(*names))
+        lines = lines.observe(seen, F.collect_set(log).alias("logs"))
+    marks = F.struct(F.coalesce(tracked, F.lit(False)).alias("tracked"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    marked = computed_once(lines.select(*LINE_COLUMNS), "_is", marks)
+    kept = pin(marked.filter("_is.tracked or _is.hit"), compact=True)
+    logs = None
+    if seen is not None:
+        columns = zip(*seen.get["logs"], strict=True) if seen.get["logs"] else [()] * len(names)
+        logs = spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in columns], names=names))
+    return kept.filter("_is.tracked").drop("_is"), kept.filter("_is.hit").drop("_is"), logs
 
 
 def analyze_layer(
@@ -132,18 +154,24 @@ def analyze_layer(
     bounds: DataFrame | Span | None = None,
     options: Options = Options(),
 ) -> DataFrame:
-    """Error lines of one layer; only what that layer needs is computed."""
+    """Error lines of one layer; only what that layer needs is computed.
+
+    Without bounds, one pass over the table gives the markers and the layer's hits together.
+    """
+    own = F.col("layer") == layer
     if layer == IOSCLI:
-        trace = lines.filter((F.col("layer") == IOSCLI) & is_trace_line(command, options))
+        trace = lines.filter(own & is_trace_line(command, options))
         return trace_errors(pin(trace.select(*LINE_COLUMNS), compact=True), command, options)
-    rules = error_rules(F.col("line"), options.strict)
-    rule = rules.get(layer, F.lit(False))
-    errors = stamp_errors(lines.filter((F.col("layer") == layer) & rule), options)
+    rule = own & error_rules(F.col("line"), options.strict).get(layer, F.lit(False))
     if layer not in TIMED_LAYERS:
-        return errors.select(*ERROR_COLUMNS)
-    if bounds is None:
-        bounds = command_bounds(lines, command, as_of, fix_noon=options.fix_noon)
-    return windowed_errors(errors, bounds, as_of, options)
+        return stamp_errors(lines.filter(rule), options).select(*ERROR_COLUMNS)
+    if bounds is not None:
+        errors = lines.filter(rule)
+    else:
+        marker = is_command_start(F.col("line"), command) | is_command_end(F.col("line"), command)
+        markers, errors, logs = _one_pass(lines, is_marker_log(F.col("file_name")) & marker, rule, True)
+        bounds = command_bounds(markers, command, as_of, logs, options.fix_noon)
+    return windowed_errors(stamp_errors(errors, options), bounds, as_of, options)
 
 
 def analyze_ioscli(lines: DataFrame, command: str = DEFAULT_COMMAND, **more) -> DataFrame:

@@ -68,6 +68,35 @@ def test_other_commands_do_not_count(log_table):
     assert within_command(lines, "lv").count() == 1
 
 
+def test_blocks_and_parts_are_levels_of_one_order(spark):
+    """The same lines as one block, and dealt over parts and far-apart blocks."""
+    lines = [line for seed in range(40) for line in random_lines(seed)]
+    rows = []
+    for n, line in enumerate(lines):
+        part, block = f"part {n // 700}", (n % 700 // 90) << 36
+        rows.append(("d", "d/t.n1", "t.n1", "n1", "t", part, block, n, line))
+    schema = "source_dir string, path string, file_name string, node string, layer string, part string, block_start bigint, row_id bigint, line string"
+    table = spark.createDataFrame(rows, schema).repartition(5)
+    assert kept_rows(within_command(table, chunk_bits=2)) == {"d/t.n1": expected(lines)}
+
+
+def test_a_log_of_a_million_chunks(spark):
+    number = F.col("id")
+    marker = F.when(F.xxhash64(number) % 5000 == 0, START).when(F.xxhash64(number) % 3000 == 1, END)
+    table = spark.range(1 << 20).select(
+        *(F.lit("t").alias(name) for name in ("source_dir", "path", "file_name", "node", "layer")),
+        F.lit("").alias("part"), F.lit(0).cast("bigint").alias("block_start"), number.alias("row_id"),
+        F.coalesce(marker, F.lit("rc = 22")).alias("line"))
+    markers = table.filter("line <> 'rc = 22'").orderBy("row_id").select("row_id", F.col("line").startswith("Command pv  S")).collect()
+    wanted, opened = 0, None
+    for row_id, starts in [*markers, (1 << 20, False)]:
+        if opened is not None:
+            wanted += row_id - opened - 1
+        opened = row_id if starts else None
+    found = within_command(table, chunk_bits=0)
+    assert found.count() == wanted > 0
+
+
 @pytest.mark.parametrize("chunk_bits", [4, 16])
 def test_event_table(spark, chunk_bits):
     lines = event_log_lines(spark, "/root/testdata/sf0.001").filter(

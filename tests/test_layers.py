@@ -136,3 +136,11 @@ def test_hot_directory_keeps_every_line(spark, log_table):
     assert errors.count() == 3000
     assert errors.select("row_id").distinct().count() == 3000
     assert errors.filter(F.col("event_ts").isNotNull()).count() == 0
+
+
+def test_marker_logs_without_markers_count_in_one_pass(log_table):
+    logs = LOGS | {"d1/zz_ioscli.n1": ["no marker"]}
+    # the log listed last has no markers, so both bounds are "now"
+    found = analyze_layer(log_table(logs), POOL, as_of=AS_OF).collect()
+    assert found == [] and analyze_layer(log_table(LOGS), POOL, as_of=AS_OF).count() == 2
+    assert analyze_layer(log_table({"d/cfglog.n": ["Error"]}), POOL, as_of=AS_OF).count() == 0

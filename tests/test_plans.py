@@ -12,7 +12,7 @@ from faultlens.functions.rules import error_rules
 from faultlens.operators.brackets import within_command
 from faultlens.operators.views import error_matrix
 from faultlens.plans.registry import QUERIES
-from faultlens.plans.layers import dispatch_errors
+from faultlens.plans.layers import analyze_layer, dispatch_errors
 from faultlens.runtime import pinned
 from faultlens.sources.logs import open_logs, scan_log_lines
 from faultlens.sources.tables import event_log_lines
@@ -38,9 +38,9 @@ def test_lines_are_shuffled_by_chunk(spark):
     text = plan(within_command(lines))
     by_chunk = r"Exchange hashpartitioning\(path#\d+, part#\d+, block_start#\d+L, _chunk#\d+L"
     assert re.search(by_chunk, text)
-    # what goes to one task per log is one row per chunk, aggregated before
-    [by_log] = re.findall(r"Exchange hashpartitioning\(path#\d+, \d+\).*\n(.*)", text)
-    assert "HashAggregate" in by_log
+    # what goes to one task per log is a row per part and wide piece, aggregated before
+    by_log = re.findall(r"Exchange hashpartitioning\(path#\d+, \d+\).*\n(.*)", text)
+    assert by_log and all("Aggregate" in one for one in by_log)
 
 
 def test_one_layer_runs_no_brackets(spark):
@@ -56,6 +56,16 @@ def test_table_is_read_once_for_hits(spark):
     assert "events.parquet" not in plan(errors)
 
 
+def test_a_timed_layer_without_bounds_reads_the_table_once(spark):
+    before = pinned(spark)
+    errors = analyze_layer(event_log_lines(spark, SF_DIR, True), POOL, as_of=AS_OF)
+    assert pinned(spark) == before + 1
+    assert "events.parquet" not in plan(errors)
+    table = event_log_lines(spark, SF_DIR, True)
+    whole = dispatch_errors(table, as_of=AS_OF).filter(F.col("layer") == POOL)
+    assert sorted(errors.collect()) == sorted(whole.collect())
+
+
 def test_joins_carry_no_forced_hints(spark):
     errors = dispatch_errors(event_log_lines(spark, SF_DIR), as_of=AS_OF)
     text = errors._jdf.queryExecution().optimizedPlan().toString()
