@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,9 +26,11 @@ from faultlens.runtime import pin
 # Fixed value: how a piece vocabulary writes a blank.
 BLANK = "▁"
 # Bytes of text worked on at once, a longer text being one slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+# Chunks that go to the libraries as one text.
+BATCH = 512
 # Chunks kept between slices, at most twice that many, and the longest of them.
-CACHE_ENTRIES, CACHE_POINTS = 60_000, 48
+CACHE_ENTRIES, CACHE_POINTS = 120_000, 48
 # An id in the low bits, the bytes of its token in the high ones.
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
@@ -45,6 +48,8 @@ class SpanTokenizers:
     """Both tokenizers, giving every token's id and the bytes it covers."""
 
     def __init__(self, byte_level: str, pieces: str):
+        # Tasks are the parallel ones: threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         letters = _byte_letters()
@@ -146,6 +151,54 @@ class SpanTokenizers:
             ends += cuts
         return self._packed(spelled, counts, ids, ends, self.b_bytes)
 
+    def _together(self, chunks: list[str], spelled: list[bytes]) -> tuple[list[bytes], list[bytes]] | None:
+        """Tokens of both for chunks that are encoded as one text; none unless all bytes are met.
+
+        Both sides cut between chunks, wherever these come from.
+        """
+        text, whole = "".join(chunks), b"".join(spelled)
+        bounds = np.cumsum(list(map(len, spelled)))
+        one = self.a.encode(text, add_special_tokens=False)
+        spans = np.array(one.offsets, np.int64).reshape(-1, 2)
+        ends = spans[:, 1]
+        shared = np.zeros(len(ends), bool)
+        if len(whole) != len(text):
+            points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+            places = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+            ends = np.concatenate([[0], places])[ends]
+            # The next token starts before this one ends: both are parts of a character.
+            shared[:-1] = spans[1:, 0] < spans[:-1, 1]
+        a = self._cut(one.ids, ends, shared, self.a_bytes, whole, bounds)
+        if a is None:
+            return None
+        one = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        spans = np.array(one["offsets"], np.int64).reshape(-1, 2)
+        # An empty span belongs to a character, or to the blank in front, that is not done.
+        b = self._cut(one["ids"], spans[:, 1] + 1, spans[:, 0] == spans[:, 1], self.b_bytes, whole, bounds)
+        return None if b is None else (a, b)
+
+    @staticmethod
+    def _cut(
+        ids: list[int], ends: np.ndarray, shared: np.ndarray, known: list[bytes], whole: bytes, bounds: np.ndarray
+    ) -> list[bytes] | None:
+        """Ids with the bytes of their tokens, cut at the chunks' bounds; none if bytes or bounds are missed."""
+        tokens = list(map(known.__getitem__, ids))
+        if b"".join(tokens) != whole:
+            return None
+        if shared.any():
+            # Inside a character, a token's own bytes are counted from the last cut that is known.
+            lengths = np.cumsum(list(map(len, tokens)))
+            settled = np.maximum.accumulate(np.where(shared, -1, np.arange(len(ends))))
+            base = np.where(settled >= 0, ends[settled] - lengths[settled], 0)
+            ends = np.where(shared, base + lengths, ends)
+        last = np.searchsorted(ends, bounds)
+        sizes = np.diff(ends, prepend=0)
+        if last[-1] >= len(ends) or not (ends[last] == bounds).all() or (sizes <= 0).any():
+            return None
+        blob = (sizes << ID_BITS | np.array(ids, np.int64)).tobytes()
+        at = [0, *((last + 1) * 8).tolist()]
+        return [blob[low:high] for low, high in zip(at[:-1], at[1:], strict=True)]
+
     def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """Tokens of both for each chunk, from the cache or the libraries; none if they miss its bytes."""
         known: dict[str, tuple[bytes, bytes] | None] = {}
@@ -157,10 +210,16 @@ class SpanTokenizers:
                 known[chunk] = self.young[chunk] = self.old[chunk]
             else:
                 new.append(chunk)
-        spelled = [chunk.encode("utf-8", "replace") for chunk in new]
-        sides = self._a_tokens(new, spelled), self._b_tokens(new, spelled)
-        for chunk, a, b in zip(new, *sides, strict=True):
-            known[chunk] = None if a is None or b is None else (a, b)
+        # A chunk that ends in a blank would go on in the next one.
+        open_ = [chunk for chunk in new if chunk[-1] == " "]
+        closed = [chunk for chunk in new if chunk[-1] != " "]
+        for some in [[chunk] for chunk in open_] + [closed[n : n + BATCH] for n in range(0, len(closed), BATCH)]:
+            spelled = [chunk.encode("utf-8", "replace") for chunk in some]
+            sides = self._together(some, spelled)
+            if sides is None:
+                sides = self._a_tokens(some, spelled), self._b_tokens(some, spelled)
+            for chunk, a, b in zip(some, *sides, strict=True):
+                known[chunk] = None if a is None or b is None else (a, b)
         for chunk in new:
             if len(chunk) <= CACHE_POINTS:
                 if len(self.young) >= CACHE_ENTRIES:
