@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ SLICE_BYTES = 1 << 20
 # Chunks that go to the libraries as one text.
 BATCH = 512
 # Chunks kept between slices, at most twice that many, and the longest of them.
-CACHE_ENTRIES, CACHE_POINTS = 120_000, 48
+CACHE_ENTRIES, CACHE_POINTS = 250_000, 48
 # An id in the low bits, the bytes of its token in the high ones.
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
@@ -159,7 +159,7 @@ class SpanTokenizers:
         text, whole = "".join(chunks), b"".join(spelled)
         bounds = np.cumsum(list(map(len, spelled)))
         one = self.a.encode(text, add_special_tokens=False)
-        spans = np.array(one.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(one.offsets), np.int64).reshape(-1, 2)
         ends = spans[:, 1]
         shared = np.zeros(len(ends), bool)
         if len(whole) != len(text):
@@ -172,7 +172,7 @@ class SpanTokenizers:
         if a is None:
             return None
         one = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
-        spans = np.array(one["offsets"], np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(one["offsets"]), np.int64).reshape(-1, 2)
         # An empty span belongs to a character, or to the blank in front, that is not done.
         b = self._cut(one["ids"], spans[:, 1] + 1, spans[:, 0] == spans[:, 1], self.b_bytes, whole, bounds)
         return None if b is None else (a, b)
