@@ -17,14 +17,14 @@ from faultlens.runtime import pin
 
 # The bounded sample of labelled rows that everything is learned from.
 MAX_LABELLED = 8000
-# Voters of the label model, features of the classifier.
-VOTERS = 400
+# Features of the classifier, each of them a voter of the label model.
 FEATURES = 2000
 MIN_SUPPORT = 3
 # Pattern voters fire on words that start with so many letters.
 PREFIXES = (4, 5)
-ROUNDS = 30
-LABEL_ACCURACY = 0.98
+ROUNDS = 100
+# What is thought of the annotation before anything is seen, and the rows this thought weighs.
+LABEL_ACCURACY, LABEL_WEIGHT = 0.95, 2.0
 # Lower end of a feature's log odds ratio, in standard errors.
 STANDARD_ERRORS = 2.5
 # Least hashes of a text's word triples, and the share of equal ones (an estimate of the
@@ -95,7 +95,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
     Rows are chosen by a hash of doc_id. Of texts with equal labels whose sketches agree in
     a share of ``ALIKE``, as those of near copies do, one is an example; texts that share
     a passage, or differ in label, all are. Rows without doc_id or label are no
-    examples, and an id with labels of both kinds is none.
+    examples, and an id with labels of both kinds is none. Of rows that repeat a doc_id
+    one is looked at, that with the least hash of its text, so ids bound the sample.
     """
     known = labels.filter("doc_id is not null and toxic is not null")
     known = known.filter(fold_of() != HELD_OUT)
@@ -112,7 +113,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
             blobs = [sketch_of(text.as_py()).tobytes() for text in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["key", "toxic", "sketch"])
 
-    rows = found.select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    found = found.groupBy("doc_id").agg(one, F.min("toxic").cast("int").alias("toxic"))
+    rows = found.select("text", "toxic").distinct()
     rows = pin(rows.select(F.xxhash64("text").alias("key"), "toxic", "text"))
     # Sketches are as many as the sample's rows, and the examples the same in any order of arrival.
     met = sorted(rows.mapInArrow(sketched, "key bigint, toxic int, sketch binary").collect())
@@ -178,25 +181,38 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) ->
     """Posterior toxicity of the rows of a vote matrix.
 
     A class prior and each voter's rates of firing on toxic and on other texts, by
-    expectation maximisation. A voter that is silent abstains. The annotation is one
-    more voter, of fixed accuracy, which anchors what the hidden class means.
-    Voters are not independent: the correlation of two voters' residuals given
-    the class is estimated in each round, and a voter's evidence is divided by
-    the number of voters it stands for, the sum of its squared correlations.
+    expectation maximisation. A voter that fires votes toxic, one that is silent
+    votes clean, each as far as its rates tell the classes apart. The annotation is
+    one more voter whose rates are estimated like all others; what is thought of it
+    beforehand (``LABEL_ACCURACY``) counts as ``LABEL_WEIGHT`` rows, and the first
+    round starts from it, which says what the hidden class means. Voters are not
+    independent: the correlation of two voters' residuals given the class is estimated
+    in each round, and a voter's evidence is divided by the number of voters it
+    stands for, the sum of its correlations beyond twice their error.
     """
-    trust = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    posterior = np.where(labels > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
+    total = len(labels)
+    marked = (labels > 0).astype(float)
+    posterior = np.where(marked > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
+    together = votes.T @ votes
     for _ in range(rounds):
-        total, toxic = len(posterior), posterior.sum()
-        on_toxic = (posterior @ votes + 0.1) / (toxic + 1)
-        on_other = ((1 - posterior) @ votes + 0.1) / (total - toxic + 1)
-        residual = votes - np.outer(posterior, on_toxic) - np.outer(1 - posterior, on_other)
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        related = (residual.T @ residual) / total / np.outer(scale, scale)
-        stands_for = np.maximum(1, (related**2).sum(axis=1))
-        prior = np.log((toxic + 0.5) / (total - toxic + 0.5))
-        odds = prior + votes @ (np.log(on_toxic / on_other) / stands_for)
-        odds += np.where(labels > 0, trust, -trust)
+        other = 1 - posterior
+        toxic, clean = posterior.sum(), other.sum()
+        fired, fired_other = posterior @ votes, other @ votes
+        on_toxic, on_other = (fired + 0.1) / (toxic + 1), (fired_other + 0.1) / (clean + 1)
+        # Products of residuals from the products of votes, without a matrix of residuals.
+        crossed = np.outer(fired, on_toxic) + np.outer(fired_other, on_other)
+        means = np.outer(on_toxic, on_toxic) * (posterior @ posterior) + np.outer(on_other, on_other) * (other @ other)
+        mixed = np.outer(on_toxic, on_other) * (posterior @ other)
+        products = (together - crossed - crossed.T + means + mixed + mixed.T) / total
+        scale = np.sqrt(np.maximum(np.diag(products), 0)) + 1e-9
+        related = np.abs(products / np.outer(scale, scale))
+        stands_for = np.maximum(1, np.where(related > 2 / np.sqrt(total), related, 0).sum(axis=1))
+        heard = np.log(on_toxic / on_other) / stands_for
+        silent = np.log((1 - on_toxic) / (1 - on_other)) / stands_for
+        odds = np.log((toxic + 0.5) / (clean + 0.5)) + silent.sum() + votes @ (heard - silent)
+        hit = (posterior @ marked + LABEL_WEIGHT * LABEL_ACCURACY) / (toxic + LABEL_WEIGHT)
+        slip = (other @ marked + LABEL_WEIGHT * (1 - LABEL_ACCURACY)) / (clean + LABEL_WEIGHT)
+        odds += np.where(marked > 0, np.log(hit / slip), np.log((1 - hit) / (1 - slip)))
         after = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         moved = np.abs(after - posterior).max()
         posterior = after
@@ -240,16 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Toxicit
         share = ((row.pos or 0) + 0.01) / (row.n + 1.0)
         return Toxicity({}, float(np.log(share / (1.01 - share))))
     votes, marks = _votes(sample, chosen)
-    posterior = label_model(votes[:, :VOTERS].astype(float), marks)
-    weights, bias = linear_classifier(votes.astype(float), posterior)
+    votes = votes.astype(float)
+    weights, bias = linear_classifier(votes, label_model(votes, marks))
     return Toxicity({f: float(w) for f, w in zip(chosen, weights, strict=True)}, bias)
 
 
 def score_documents(docs: DataFrame, model: Toxicity) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from a score of 0.5 on).
 
-    Only the text is looked at; null text is empty text. Columns of these names are
-    replaced. The model is broadcast: at most ``FEATURES`` features.
+    Only the text is looked at; null text is empty text, and rows that are repeated score
+    alike. Columns of these names are replaced; an empty table gives an empty result.
+    The model is broadcast: at most ``FEATURES`` features.
     """
     rows = docs.drop("score", "predicted", "_text").withColumn("_text", text_of())
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -11,7 +11,7 @@ from helpers import awkward, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faultlens.llm import piece_agenda, skip_chain
+from faultlens.llm import piece_agenda, skip_chain, weak_toxicity
 from faultlens.llm import harmonic_packing
 from faultlens.llm.harmonic_packing import cut_lengths, pack_documents, tokenizer_at
 from faultlens.llm.host_suffixes import blocks_of, extract_main_text, host_of
@@ -341,6 +341,73 @@ def test_label_model_overrules_a_wrong_label():
     assert (((votes @ weights + bias) > 0) == truth).mean() > 0.97
 
 
+def test_the_annotation_is_estimated(monkeypatch):
+    """Rates of the annotation come from the votes, not from what is thought of it."""
+    rng = np.random.default_rng(15)
+    truth = rng.random(4000) < 0.3
+    votes = np.where(truth[:, None], rng.random((4000, 15)) < 0.5, rng.random((4000, 15)) < 0.02).astype(float)
+    labels = np.where(rng.random(4000) < 0.2, ~truth, truth).astype(float)
+    found = label_model(votes, labels)
+    assert ((found > 0.5) == truth).mean() > 0.98 > (labels == truth).mean()
+    for thought in (0.7, 0.99):
+        monkeypatch.setattr(weak_toxicity, "LABEL_ACCURACY", thought)
+        assert np.abs(label_model(votes, labels) - found).mean() < 0.01
+    # A row no lexicon voter fires on is clean, whatever a bad annotation says.
+    assert found[votes.sum(axis=1) == 0].max() < 0.5
+
+
+def test_scores_by_hand(spark):
+    """Choice of features, label model and classifier worked out again in plain Python."""
+    texts, labels = toxic_corpus(16)
+    docs = documents(spark, texts)
+    marked = spark.createDataFrame([(n, 1, y) for n, y in enumerate(labels)], "doc_id long, quality int, toxic int")
+    own = [n for n in range(len(texts)) if zlib.crc32(str(n).encode()) % 5]
+    listed = [weak_toxicity.features_of(texts[n]) for n in own]
+    y = np.array([labels[n] for n in own], float)
+    pos, neg = y.sum(), len(y) - y.sum()
+    worth = {}
+    for feature in set().union(*listed):
+        here = np.array([feature in some for some in listed])
+        a, b = y[here].sum(), (1 - y[here]).sum()
+        cells = (a + 0.5, pos - a + 0.5, b + 0.5, neg - b + 0.5)
+        odds = np.log(cells[0] * cells[3] / cells[1] / cells[2])
+        if a >= 3 and odds > 2.5 * sum(1 / cell for cell in cells) ** 0.5:
+            worth[feature] = odds
+    votes = np.array([[float(feature in some) for feature in sorted(worth)] for some in listed])
+    posterior = np.where(y > 0, 0.95, 0.05)
+    for _ in range(100):
+        p, q = posterior[:, None], 1 - posterior[:, None]
+        t, c = ((p * votes).sum(0) + 0.1) / (p.sum() + 1), ((q * votes).sum(0) + 0.1) / (q.sum() + 1)
+        residual = votes - p * t - q * c
+        size = np.sqrt((residual**2).mean(0)) + 1e-9
+        related = np.abs(residual.T @ residual / len(y) / np.outer(size, size))
+        share = np.maximum(1, (related * (related > 2 / len(y) ** 0.5)).sum(1))
+        evidence = votes * np.log(t / c) + (1 - votes) * np.log((1 - t) / (1 - c))
+        hit, slip = ((w @ y + 2 * k) / (w.sum() + 2) for w, k in ((posterior, 0.95), (1 - posterior, 0.05)))
+        told = np.where(y > 0, np.log(hit / slip), np.log((1 - hit) / (1 - slip)))
+        odds = np.log((p.sum() + 0.5) / (q.sum() + 0.5)) + (evidence / share).sum(1) + told
+        before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        if np.abs(posterior - before).max() < 1e-4:
+            break
+    model = fit(docs, marked)
+    assert model.weights.keys() == worth.keys()
+    # The classifier stands where its penalised loss has no slope.
+    w = np.array([model.weights[feature] for feature in sorted(worth)])
+    slope = 1 / (1 + np.exp(-(votes @ w + model.bias))) - posterior
+    assert np.abs(votes.T @ slope + w).max() < 0.05 and abs(slope.sum()) < 0.05
+    for row in score_documents(docs, model).collect():
+        hits = [model.weights[f] for f in worth if f in weak_toxicity.features_of(texts[row.doc_id])]
+        assert abs(row.score - 1 / (1 + np.exp(-model.bias - sum(hits)))) < 1e-9
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    ids = [1] * 300 + [n for n in range(2, 60) if zlib.crc32(str(n).encode()) % 5]
+    texts = [f"some text of its own number {n} w{n}x w{n}y w{n}z" for n in range(len(ids))]
+    marked = spark.createDataFrame([(n, 1, n % 2) for n in range(60)], "doc_id long, quality int, toxic int")
+    found = labelled_sample(documents(spark, texts, ids), marked).collect()
+    assert len(found) <= len(set(ids)) and len({r.text for r in found} & set(texts[:300])) <= 1
+
+
 @pytest.mark.parametrize("marks", [[], [(3, 1, 0)], [(3, None, None), (None, 1, 1)]])
 def test_toxicity_awkward(spark, marks):
     docs = awkward(spark)
