@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import text_of
-from faultlens.runtime import pin
 
 # The kinds, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +32,9 @@ _DIGITS = re.compile(r"[0-9]+")
 TRAIN_DOCS = 2000
 TRAIN_TOKENS = 200
 HASHED = 4096
-ITERATIONS = 12
+# Messages have converged when none moves further than this. Tables are bounded, so they
+# do; a field on which they did not would end after so many rounds.
+SETTLED, MOST_ROUNDS = 1e-3, 1000
 # A similar pair's weight when nothing is known about it, and its bounds.
 SKIP_PRIOR, SKIP_LIMITS = 4.0, (2.0, 6.0)
 NEAR = 40
@@ -113,10 +114,10 @@ def unary_features(token: str) -> list[int]:
     digits = "".join(_DIGITS.findall(token))
     parts = token.split(".")
     at = token.rpartition("@")
-    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda run: f"9{min(len(run[0]), 5)}", token[:60]))
+    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda run: f"9{min(len(run[0]), 5)}", token))
     seen = [
         "bias",
-        f"shape {shape[:24]}",
+        f"shape {shape}",
         f"digits {min(len(digits), 20)}",
         f"dots {min(len(parts), 6)} at {min(token.count('@'), 2)}",
         f"email {bool(at[0]) and bool(_DOMAIN.fullmatch(at[2]))}",
@@ -155,6 +156,17 @@ def skip_edges(keys: list[str]) -> list[tuple[int, int]]:
     return edges
 
 
+def shared_nodes(keys: list[str]) -> tuple[int, list[tuple[int, int]]]:
+    """Edges that tie all like tokens to one node of their own, numbered after the tokens.
+
+    What is known of one of them reaches every other in two steps, however many and
+    however far apart they are.
+    """
+    times = Counter(key for key in keys if key)
+    nodes = {key: len(keys) + n for n, key in enumerate(key for key in times if times[key] > 1)}
+    return len(nodes), [(n, nodes[key]) for n, key in enumerate(keys) if key in nodes]
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights of the field; their size is fixed."""
@@ -172,9 +184,10 @@ class Field:
                 local[n] = np.where(np.arange(len(LABELS)) == node.label, 0.0, -30.0)
         local -= local.max(axis=1, keepdims=True)
         chain = [(n, n + 1) for n in range(len(nodes) - 1)]
-        skips = skip_edges([similar_key(s) for s in surfaces])
         if not chain:
             return _normalised(local)
+        hubs, skips = shared_nodes([similar_key(s) for s in surfaces])
+        local = np.concatenate([local, np.zeros((hubs, len(LABELS)))])
         ends = np.array(chain + skips)
         gaps = [int(nodes[b].start - nodes[a].end > NEAR) for a, b in chain]
         alike = self.skip * np.eye(len(LABELS))
@@ -185,20 +198,17 @@ class Field:
         both = np.concatenate([tables, tables.transpose(0, 2, 1)])
         messages = np.zeros((len(source), len(LABELS)))
         back = np.roll(np.arange(len(source)), len(ends))
-        for _ in range(ITERATIONS):
-            belief = local.copy()
-            np.add.at(belief, target, messages)
+        for _ in range(MOST_ROUNDS):
+            belief = _received(local, target, messages)
             sent = (belief[source] - messages[back])[:, :, None] + both
             top = sent.max(axis=1, keepdims=True)
             new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
             moved = np.abs(new - messages).max()
             messages = (new + messages) / 2
-            if moved < 1e-3:
+            if moved < SETTLED:
                 break
-        belief = local.copy()
-        np.add.at(belief, target, messages)
-        return _normalised(belief)
+        return _normalised(_received(local, target, messages)[: len(nodes)])
 
     def spans(self, text: str) -> list[tuple[int, int, int, bool]]:
         """``(start, kind, end, base)`` of all spans, base ones and those the field adds."""
@@ -215,6 +225,11 @@ class Field:
         return sorted(found)
 
 
+def _received(local: np.ndarray, target: np.ndarray, messages: np.ndarray) -> np.ndarray:
+    sums = [np.bincount(target, messages[:, n], len(local)) for n in range(local.shape[1])]
+    return local + np.stack(sums, axis=1)
+
+
 def _normalised(scores: np.ndarray) -> np.ndarray:
     p = np.exp(scores - scores.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -242,48 +257,72 @@ def _fit_unary(examples: Counter) -> np.ndarray:
     return weights
 
 
+def _examples_of(text: str) -> Iterator[tuple[str, list[int], int, int]]:
+    """``(kind, features, label, next label)`` of the tokens of a text that training counts.
+
+    Of a text with more than ``TRAIN_TOKENS`` tokens, so many are drawn from all over it,
+    by chance that depends on the text alone.
+    """
+    nodes = tokens_of(text, base_spans(text))
+    surfaces = [text[node.start : node.end] for node in nodes]
+    draw = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    drawn = range(len(nodes))
+    if len(nodes) > TRAIN_TOKENS:
+        drawn = sorted(draw.choice(len(nodes), TRAIN_TOKENS, replace=False).tolist())
+    following = dict(skip_edges([similar_key(s) for s in surfaces]))
+    for n in drawn:
+        yield "token", unary_features(surfaces[n]), nodes[n].label, -1
+        if n + 1 < len(nodes):
+            far = nodes[n + 1].start - nodes[n].end > NEAR
+            yield "far" if far else "near", [], nodes[n].label, nodes[n + 1].label
+        if n in following:
+            yield "alike", [], nodes[n].label, nodes[following[n]].label
+
+
+def training_sample(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """``text`` of about ``most`` different documents, chosen by a hash of doc_id and text.
+
+    Rows without doc_id are documents like others, told apart by their texts, and of
+    repeated rows there is one, so nulls and copies do not enlarge the sample.
+    """
+    some = docs.select(F.xxhash64("doc_id", text_of()).alias("h"), text_of().alias("text"))
+    some = some.filter(F.col("text").rlike("[0-9@]"))
+    rows = some.agg(F.approx_count_distinct("h", 0.02).alias("n")).first().n
+    share = min(1.0, most / max(1, rows))
+    return some.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"]).select("text")
+
+
 def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Field:
     """Train the field on a bounded sample of documents; base spans are the labels.
 
-    ``most`` documents are chosen by a hash of doc_id, and of each at most
-    ``TRAIN_TOKENS`` tokens count, so what reaches the driver is bounded. Chain
-    potentials are log ratios of label pairs to their chance, near and far. The weight of
-    similar tokens is the log odds that two of them agree when one is an entity.
+    About ``most`` documents are chosen, and of each at most ``TRAIN_TOKENS`` tokens
+    count. Spark counts equal examples, so the driver gets the distinct ones of a
+    bounded number. Chain potentials are log ratios of label pairs to their chance, near
+    and far. The weight of similar tokens is the log odds that two of them agree when
+    one is an entity.
     """
-    some = docs.select("doc_id", text_of().alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    keys = pin(some.select(F.xxhash64("doc_id").alias("h")))
-    share = min(1.0, most / max(1, keys.count()))
-    sample = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    schema = pa.schema([("kind", pa.string()), ("features", pa.list_(pa.int32())), ("a", pa.int32()), ("b", pa.int32())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                nodes = tokens_of(text, base_spans(text))[:TRAIN_TOKENS]
-                surfaces = [text[node.start : node.end] for node in nodes]
-                far = [0] + [int(b.start - a.end > NEAR) for a, b in zip(nodes, nodes[1:], strict=False)]
-                pairs = skip_edges([similar_key(s) for s in surfaces])
-                rows.append({
-                    "features": [unary_features(s) for s in surfaces],
-                    "labels": [node.label for node in nodes],
-                    "far": far[: len(nodes)],
-                    "pairs": [[nodes[a].label, nodes[b].label] for a, b in pairs],
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                ("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.int32())),
-                ("far", pa.list_(pa.int32())), ("pairs", pa.list_(pa.list_(pa.int32())))]))
-
-    schema = "features array<array<int>>, labels array<int>, far array<int>, pairs array<array<int>>"
+            for text in batch.column(0):
+                rows = list(_examples_of(text.as_py()))
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    counted = training_sample(docs, most).mapInArrow(listed, "kind string, features array<int>, a int, b int")
+    counted = counted.groupBy("kind", "features", "a", "b").count()
     examples: Counter = Counter()
     pairs = np.ones((2, len(LABELS), len(LABELS)))
     agree = disagree = 0
-    for row in sample.select("text").mapInArrow(listed, schema).collect():
-        examples.update(zip(map(tuple, row.features), row.labels, strict=True))
-        for a, b, far in zip(row.labels, row.labels[1:], row.far[1:], strict=False):
-            pairs[far, a, b] += 1
-        for a, b in row.pairs:
-            agree += a == b and a > 0
-            disagree += a != b
+    for kind, features, a, b, times in counted.collect():
+        if kind == "token":
+            examples[tuple(features), a] += times
+        elif kind == "alike":
+            agree += times * (a == b and a > 0)
+            disagree += times * (a != b)
+        else:
+            pairs[int(kind == "far"), a, b] += times
     joint = pairs / pairs.sum(axis=(1, 2), keepdims=True)
     chance = joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)
     odds = SKIP_PRIOR if not agree + disagree else np.log((agree + 1) / (disagree + 1))
@@ -298,8 +337,8 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
 
     A span has start and end in code points, the kind as a place in ``KINDS``, and
     whether the patterns found it. Null text is empty text and has none. Each
-    document is one field of its own, with two edges per token at most, so long texts
-    take linear time and nothing is shuffled. Repeated rows and nulls in other columns
+    document is one field of its own, with two edges per token at most, and messages go
+    on until they settle, in a long text as in a short one; nothing is shuffled. Repeated rows and nulls in other columns
     do not matter; a column ``spans`` is replaced; an empty table gives an empty result.
     """
     rows = docs.drop("spans", "_text").withColumn("_text", text_of())

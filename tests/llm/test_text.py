@@ -329,6 +329,55 @@ def test_examples_that_share_a_passage(spark):
     assert sorted(r.toxic for r in found if r.text.startswith("c0 ")) == [0, 1]
 
 
+def test_known_labels_reach_all_like_tokens():
+    """One known token settles the label of all that are like it, near or far."""
+    number = "4111111111111111"
+    for copies, against in ((2, 0.05), (60, 0.05), (2000, 0.0)):
+        weights = np.zeros((skip_chain.HASHED, 5))
+        weights[skip_chain.unary_features("x")[0], 0] = against
+        field = skip_chain.Field(weights, np.zeros((2, 5, 5)), 4.0)
+        text = f"{number} " + "word " * 50 + f"x{number}y " * copies
+        base = skip_chain.base_spans(text)[:1]
+        nodes = skip_chain.tokens_of(text, base)
+        found = field.posteriors(text, nodes)
+        unknown = np.array([not node.known for node in nodes])
+        assert unknown.sum() == copies and len(found) == len(nodes)
+        assert len({tuple(np.round(p, 2)) for p in found[unknown]}) == 1
+        assert (found[unknown].argmax(axis=1) == 3).all()
+
+
+def test_messages_with_shared_nodes_equal_enumeration():
+    rng = np.random.default_rng(17)
+    field = skip_chain.Field(rng.normal(size=(skip_chain.HASHED, 5)), np.zeros((2, 5, 5)), 3.0)
+    text = "a1111111 b22222222 c1111111 d1111111"
+    nodes = skip_chain.tokens_of(text, [])
+    local = np.array([field.unary[skip_chain.unary_features(text[n.start : n.end])].sum(axis=0) for n in nodes])
+    keys = [skip_chain.similar_key(text[n.start : n.end]) for n in nodes]
+    assert skip_chain.shared_nodes(keys) == (1, [(0, 4), (2, 4), (3, 4)])
+    wanted = np.zeros((4, 5))
+    for labels in np.ndindex(5, 5, 5, 5):
+        for hub in range(5):
+            tie = 3.0 * sum(labels[n] == hub for n in (0, 2, 3))
+            p = np.exp(tie + sum(local[n, label] for n, label in enumerate(labels)))
+            for n, label in enumerate(labels):
+                wanted[n, label] += p
+    wanted /= wanted.sum(axis=1, keepdims=True)
+    assert np.allclose(field.posteriors(text, nodes), wanted, atol=0.01)
+
+
+def test_training_sample_is_bounded(spark):
+    """Neither rows without doc_id nor copies enlarge it, and long texts count from all over."""
+    rows = [(None, f"call {n} at +4930{n:07d}") for n in range(1000)] + [(7, "same 1")] * 1000
+    rows += [(n, f"text {n}") for n in range(10, 1000)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 5 <= skip_chain.training_sample(docs, 30).count() <= 80
+    assert skip_chain.training_sample(docs, 10_000).count() == 1000 + 1 + 990
+    text = " ".join(f"{n}a" for n in range(5000))
+    tokens = [row for row in skip_chain._examples_of(text) if row[0] == "token"]
+    assert len(tokens) == skip_chain.TRAIN_TOKENS and len({str(row[1]) for row in tokens}) > 2
+    assert list(skip_chain._examples_of("")) == []
+
+
 def test_label_model_overrules_a_wrong_label():
     rng = np.random.default_rng(14)
     truth = rng.random(800) < 0.3
