@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by NN-descent over a neighbour graph, completed by comparison."""
+"""Embedding near-duplicates by NN-descent over a neighbour graph, with an audit of its recall."""
 
 from __future__ import annotations
 
@@ -17,14 +17,16 @@ THRESHOLD = 0.95
 # Neighbours a list starts with; orders of the vectors the first graph comes from.
 NEIGHBOURS = 8
 ORDERS = 6
-# Rounds of refinement, and the seed of the orders.
+# Rounds of refinement that find no link before a search ends, and the seed of the orders.
 ROUNDS = 2
 SEED = 0
-# Rows of a component counted against each other in one step.
+# Searches, each with new orders and lists twice as long, before all vectors are compared.
+TRIES = 4
+# Vectors with links, and as many without, whose links the audit counts; bytes of either.
+AUDIT = 1024
+AUDIT_BYTES = 4 << 20
+# Rows of a component, or of all, compared with each other in one step.
 BLOCK = 1024
-# Bytes of vectors that every row is compared with in one pass, and rows of a step of it.
-SLAB_BYTES = 16 << 20
-STEP = 2048
 # Inner products of unit vectors in single precision are good to this.
 SLACK = 1e-4
 
@@ -67,7 +69,13 @@ def _in_single(points: DataFrame) -> DataFrame:
     return points.mapInArrow(cast, "vec_id bigint, vector binary")
 
 
-def _orders(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
+def _labelled(vectors: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(vec_id, part, vector)``: vectors and their components, of themselves without links."""
+    named = vectors.join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    return named.select("vec_id", F.coalesce("component", "vec_id").alias("part"), "vector")
+
+
+def _orders(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
     """Every vector in ``ORDERS`` orders, each by the signs of random projections.
 
     Vectors at a small angle mostly share all signs, and stand near each other.
@@ -80,114 +88,139 @@ def _orders(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
         powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             by_width: dict[int, list[int]] = {}
-            blobs = batch.column(1).to_pylist()
+            blobs = batch.column(2).to_pylist()
             for n, blob in enumerate(blobs):
-                by_width.setdefault(len(blob) // 8, []).append(n)
-            ids = np.asarray(batch.column(0))
+                by_width.setdefault(len(blob) // 4, []).append(n)
+            ids, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for width, places in by_width.items():
                 if width not in planes:
-                    planes[width] = np.random.default_rng([seed, width]).normal(size=(ORDERS * bits, width))
-                x = np.stack([np.frombuffer(blobs[n], "<f8") for n in places])
+                    planes[width] = np.random.default_rng([seed, width]).normal(size=(ORDERS * bits, width)).astype("<f4")
+                x = np.stack([np.frombuffer(blobs[n], "<f4") for n in places])
                 above = (x @ planes[width].T > 0).reshape(len(places), ORDERS, bits)
                 keys = above @ powers
                 yield pa.record_batch(
                     [
                         pa.array(np.repeat(ids[places], ORDERS)),
+                        pa.array(np.repeat(parts[places], ORDERS)),
                         pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), len(places))),
                         pa.array(np.full(len(places) * ORDERS, width, np.int32)),
                         pa.array(keys.ravel()),
                     ],
-                    names=["vec_id", "nth", "width", "key"],
+                    names=["vec_id", "part", "nth", "width", "key"],
                 )
 
-    return vectors.mapInArrow(signed, "vec_id bigint, nth int, width int, key bigint")
+    return labelled.mapInArrow(signed, "vec_id bigint, part bigint, nth int, width int, key bigint")
 
 
 def _first_links(orders: DataFrame, each: int) -> DataFrame:
-    """Pairs of vectors that stand within ``each`` places of one another in an order.
+    """Pairs of a vector with the one before it, and with the last of each of the ``each`` runs before.
 
-    The orders are range-partitioned, so a group of equal keys is spread over tasks.
+    A run is of vectors of one component that follow each other in an order, so a
+    component of any size hides nothing. The orders are range-partitioned, so a
+    group of equal keys is spread over tasks.
     """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: np.ndarray | None = None
+        tail = np.empty((0, 4), np.int64)
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in range(3)], axis=1)
-            own = 0 if tail is None else len(tail)
-            rows = rows if tail is None else np.concatenate([tail, rows])
-            found = []
+            fresh = np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in range(4)], axis=1)
+            if not len(fresh):
+                continue
+            rows = np.concatenate([tail, fresh])
+            run = np.concatenate([[0], np.cumsum((rows[1:, 1:] != rows[:-1, 1:]).any(axis=1))])
+            ends = np.concatenate([np.flatnonzero(run[1:] != run[:-1]), [len(rows) - 1]])
+            new = np.arange(len(tail), len(rows))
+            before = new[(new > 0) & (run[new] == run[new - 1])]
+            found = [np.stack([rows[before, 0], rows[before - 1, 0]], axis=1)]
             for step in range(1, each + 1):
-                a, b = rows[:-step], rows[step:]
-                # Only pairs with a row that is new in this batch, of one order and width.
-                fresh = (np.arange(len(b)) + step >= own) & (a[:, 1] == b[:, 1]) & (a[:, 2] == b[:, 2])
-                found.append(np.stack([a[fresh, 0], b[fresh, 0]], axis=1))
+                own = new[run[new] >= step]
+                last = ends[run[own] - step]
+                # Of one order and width.
+                same = (rows[own, 2:] == rows[last, 2:]).all(axis=1)
+                found.append(np.stack([rows[own[same], 0], rows[last[same], 0]], axis=1))
             pairs = np.concatenate(found)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            tail = rows[-each:]
+            tail = rows[ends[-each - 1 :]]
 
     # Ties in the key are told apart by a hash, not by the ids.
-    dealt = orders.repartitionByRange("nth", "width", "key", F.xxhash64("vec_id", "nth"))
-    dealt = dealt.sortWithinPartitions("nth", "width", "key", F.xxhash64("vec_id", "nth"))
-    return dealt.select("vec_id", "nth", "width").mapInArrow(linked, "a bigint, b bigint").filter("a <> b").distinct()
+    place = ["nth", "width", "key", F.xxhash64("vec_id", "nth")]
+    dealt = orders.repartitionByRange(*place).sortWithinPartitions(*place).select("vec_id", "part", "nth", "width")
+    return dealt.mapInArrow(linked, "a bigint, b bigint").filter("a <> b").distinct()
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def _lists(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(center, members)``: of each center, itself and its members with their vectors."""
-    own = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
-    joined = pairs.select("a", "b").union(own).join(vectors.withColumnRenamed("vec_id", "b"), "b")
+def _lists(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(center, members)``: of each center, itself and its members with their components and vectors."""
+    own = labelled.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
+    joined = pairs.select("a", "b").union(own).join(labelled.withColumnRenamed("vec_id", "b"), "b")
     return joined.groupBy(F.col("a").alias("center")).agg(
-        F.collect_list(F.struct("b", "vector")).alias("members")
+        F.collect_list(F.struct("b", "part", "vector")).alias("members")
     )
 
 
 def _local_joins(lists: DataFrame, each: int) -> DataFrame:
-    """Pairs of members of one list, neighbours of neighbours: ``(a, b, cosine)``.
+    """Pairs of members of one list, neighbours of neighbours: ``(a, b, part, own, cosine)``.
 
-    A list proposes to every member its ``each`` nearest in the list. Lists are bounded
-    by the caller.
+    A list proposes to every member its ``each`` nearest in the list of its own component,
+    and of others, the nearest of each. Lists are bounded by the caller.
     """
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out = []
             for members in batch.column(0):
                 rows = members.as_py()
                 ids = np.array([row["b"] for row in rows], np.int64)
                 if len(ids) < 2:
                     continue
+                parts = np.array([row["part"] for row in rows], np.int64)
                 x = np.stack([np.frombuffer(row["vector"], "<f4") for row in rows])
                 cosine = x @ x.T
                 np.fill_diagonal(cosine, -2)
-                top = np.argsort(-cosine, axis=1, kind="stable")[:, :each]
-                a = np.repeat(ids, top.shape[1])
-                out.append((a, ids[top].ravel(), np.take_along_axis(cosine, top, 1).ravel()))
+                same = parts[:, None] == parts[None, :]
+                foreign = np.where(same, np.float32(-2), cosine)
+                kinds, sizes = np.unique(parts, return_counts=True)
+                for kind in kinds[sizes > 1]:
+                    # Of a component, only the member nearest to a row takes a place.
+                    places = np.flatnonzero(parts == kind)
+                    best = places[foreign[:, places].argmax(axis=1)]
+                    value = foreign[np.arange(len(ids)), best]
+                    foreign[:, places] = -2
+                    foreign[np.arange(len(ids)), best] = value
+                for own, near in ((False, foreign), (True, np.where(same, cosine, np.float32(-2)))):
+                    if own and len(kinds) == len(ids):
+                        continue
+                    top = np.argsort(-near, axis=1, kind="stable")[:, :each]
+                    value = np.take_along_axis(near, top, 1).ravel()
+                    a, top, seen = np.repeat(ids, top.shape[1]), top.ravel(), value > -2
+                    out.append((a[seen], ids[top[seen]], parts[top[seen]], np.full(seen.sum(), own), value[seen]))
             if out:
-                a, b, c = (np.concatenate(column) for column in zip(*out, strict=True))
-                own = (a != b) & (c > -2)
-                yield pa.record_batch(
-                    [pa.array(a[own]), pa.array(b[own]), pa.array(c[own].astype(np.float32))], names=["a", "b", "cosine"]
-                )
+                columns = [pa.array(np.concatenate(column)) for column in zip(*out, strict=True)]
+                yield pa.record_batch(columns, names=["a", "b", "part", "own", "cosine"])
+
+    return lists.select("members").mapInArrow(joined, "a bigint, b bigint, part bigint, own boolean, cosine float")
 
-    return lists.select("members").mapInArrow(joined, "a bigint, b bigint, cosine float")
+
+def _first(pairs: DataFrame, each: int, *order: Column) -> DataFrame:
+    """The first ``each`` rows of every vector, within its component and outside it."""
+    place = F.row_number().over(Window.partitionBy("a", "own").orderBy(*order))
+    return pairs.withColumn("nth", place).filter(F.col("nth") <= each).drop("nth")
 
 
 def _nearest(pairs: DataFrame, each: int) -> DataFrame:
-    """The ``each`` nearest neighbours of every vector."""
-    best = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    sorted_ = F.sort_array(F.collect_list(F.struct("cosine", "b")), asc=False)
-    kept = best.groupBy("a").agg(F.slice(sorted_, 1, each).alias("near"))
-    return kept.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.cosine")
+    """The ``each`` nearest neighbours of every vector in its component, and in others the nearest of each."""
+    slot = F.when(F.col("own"), F.col("b")).otherwise(F.col("part"))
+    best = pairs.groupBy("a", "own", slot.alias("slot")).agg(F.max(F.struct("cosine", "b")).alias("x"))
+    return _first(best.select("a", "own", "x.b", "x.cosine"), each, F.desc("cosine"), F.asc("b"))
 
 
 def _candidates(graph: DataFrame, each: int) -> DataFrame:
     """Lists for the next local joins: neighbours, and as many of those they are neighbours of."""
-    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"))
-    back = back.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
+    back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "own")
+    back = _first(back, each, F.xxhash64("a", "b"))
     return graph.select("a", "b").union(back.select("a", "b")).distinct()
 
 
@@ -226,59 +259,116 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[least[own]]
 
 
-def _cross_links(points: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of components ``(a, b)`` that vectors of theirs link, whatever the search has seen.
+def _audit(named: DataFrame, rows: int, seed: int, threshold: float) -> tuple[int, int]:
+    """Links of a bounded draw of vectors, by comparison with all, and how many of them lie between components.
 
-    Every vector is compared with every other, in double precision. Slabs of bounded
-    size go to all tasks one after the other, and meet the vectors of their own and of
-    earlier slabs. Links inside a component say nothing new, and of links between
-    components each step gives as few as connect them.
+    Drawn by hash are ``rows`` of the vectors with links, where a search has most to
+    miss, and as many of those without.
     """
-    named = points.join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    total = points.agg(F.sum(F.length("vector")).alias("n")).first().n or 0
-    slabs = -(-total // SLAB_BYTES)
-    slab = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, slabs)))
-    named = pin(named.select(slab.alias("slab"), F.coalesce("component", "vec_id").alias("part"), "vector"))
-    context = points.sparkSession.sparkContext
-    found = []
-    for nth in range(slabs):
-        by_width: dict[int, list] = {}
-        for row in named.filter(F.col("slab") == nth).select("part", "vector").collect():
-            by_width.setdefault(len(row.vector) // 8, []).append(row)
-        shared = context.broadcast(
-            {
-                width: (np.array([r.part for r in some]), np.stack([np.frombuffer(r.vector, "<f8") for r in some]))
-                for width, some in by_width.items()
-            }
+    order = F.xxhash64("vec_id", F.lit(seed))
+    drawn: dict[int, list] = {}
+    for linked in (True, False):
+        for row in named.filter(F.col("linked") == linked).orderBy(order).limit(rows).collect():
+            drawn.setdefault(len(row.vector) // 8, []).append(row)
+    queries = {
+        width: (
+            np.array([row.vec_id for row in some]),
+            np.array([row.part for row in some]),
+            np.stack([np.frombuffer(row.vector, "<f8") for row in some]),
         )
+        for width, some in drawn.items()
+    }
+    shared = named.sparkSession.sparkContext.broadcast(queries)
 
-        def compared(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = np.asarray(batch.column(0))
-                groups: dict[int, list[int]] = {}
-                blobs = batch.column(1).to_pylist()
-                for n, blob in enumerate(blobs):
-                    groups.setdefault(len(blob) // 8, []).append(n)
-                for width, places in groups.items():
-                    if width not in shared.value:
-                        continue
-                    other, y = shared.value[width]
-                    for low in range(0, len(places), STEP):
-                        some = places[low : low + STEP]
-                        own = ids[some]
-                        x = np.stack([np.frombuffer(blobs[n], "<f8") for n in some])
-                        for at in range(0, len(y), STEP):
-                            near = x @ y[at : at + STEP].T >= threshold
-                            near &= own[:, None] != other[None, at : at + STEP]
-                            p, q = np.nonzero(near)
-                            if len(p):
-                                a, b = _forest(own[p], other[at + q])
-                                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        earlier = named.filter(F.col("slab") <= nth).select("part", "vector")
-        found.append(pin(earlier.mapInArrow(compared, "a bigint, b bigint").distinct()))
-        shared.unpersist()
-    return reduce(DataFrame.unionByName, found) if found else parts.select("id", "component").toDF("a", "b").limit(0)
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(2).to_pylist()
+            by_width: dict[int, list[int]] = {}
+            for n, blob in enumerate(blobs):
+                by_width.setdefault(len(blob) // 8, []).append(n)
+            ids, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            links = missed = 0
+            for width, places in by_width.items():
+                if width in shared.value:
+                    of, part, y = shared.value[width]
+                    near = np.stack([np.frombuffer(blobs[n], "<f8") for n in places]) @ y.T >= threshold
+                    near &= ids[places][:, None] != of[None, :]
+                    links += int(near.sum())
+                    missed += int((near & (parts[places][:, None] != part[None, :])).sum())
+            yield pa.record_batch([pa.array([links]), pa.array([missed])], names=["links", "missed"])
+
+    found = named.select("vec_id", "part", "vector").mapInArrow(compared, "links bigint, missed bigint")
+    total = found.agg(F.sum("links").alias("links"), F.sum("missed").alias("missed")).first()
+    shared.destroy()
+    return total.links or 0, total.missed or 0
+
+
+def _links_between(named: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """Pairs of components ``(a, b)`` that vectors of theirs link, by comparing all vectors.
+
+    For tables the search has failed on. Each pair of blocks of at most about ``BLOCK``
+    rows is one group; of its links between components it gives as few as connect
+    them. The cost is the square of the vectors.
+    """
+    blocks = -(-rows // BLOCK)
+    placed = named.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    groups = spread.groupBy(
+        F.length("vector").alias("width"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    ).agg(F.collect_list(F.struct("part", "own", "vector")).alias("rows"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, members in zip(*batch.columns, strict=True):
+                members = members.as_py()
+                parts = np.array([row["part"] for row in members], np.int64)
+                own = np.array([row["own"] for row in members])
+                x = np.stack([np.frombuffer(row["vector"], "<f8") for row in members])
+                p, q = own == lo.as_py(), own == hi.as_py()
+                near = (x[p] @ x[q].T >= threshold) & (parts[p][:, None] != parts[q][None, :])
+                i, j = np.nonzero(near)
+                if len(i):
+                    a, b = _forest(parts[p][i], parts[q][j])
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return groups.select("lo", "hi", "rows").mapInArrow(compared, "a bigint, b bigint").distinct()
+
+
+def _components(points: DataFrame, threshold: float) -> DataFrame:
+    """``(id, component)`` of the vectors with links, by NN-descent."""
+    spark = points.sparkSession
+    size = points.agg(F.count("*").alias("rows"), F.max(F.length("vector")).alias("bytes")).first()
+    drawn = min(AUDIT, AUDIT_BYTES // max(1, size.bytes or 1))
+    light = pin(_in_single(points))
+    parts = spark.createDataFrame([], "id long, component long")
+    labelled = pin(_labelled(light, parts))
+    links: list[DataFrame] = []
+    graph = None
+    for nth in range(TRIES):
+        each = NEIGHBOURS << nth
+        pairs = _both_ways(_first_links(_orders(labelled, size.rows, SEED + nth), 2))
+        if graph is not None:
+            pairs = pairs.union(_candidates(graph, each)).distinct()
+        quiet = 0
+        while quiet <= ROUNDS:
+            graph = pin(_nearest(_local_joins(_lists(pairs, labelled), each), each))
+            new = pin(_within(graph.filter(~F.col("own")), points, threshold))
+            if new.isEmpty():
+                quiet += 1
+            else:
+                # Linked neighbours join the component, and others take their places in the list.
+                links.append(new)
+                parts = pin(connected_components(reduce(DataFrame.union, links)))
+                labelled = pin(_labelled(light, parts))
+            pairs = _candidates(graph, each)
+        linked = parts.select(F.col("id").alias("vec_id"), F.lit(True).alias("linked"))
+        named = _labelled(points, parts).join(linked, "vec_id", "left")
+        named = pin(named.withColumn("linked", F.coalesce("linked", F.lit(False))))
+        _, missed = _audit(named, drawn, SEED + nth, threshold)
+        if not missed:
+            return parts
+    between = pin(_links_between(named, size.rows, threshold))
+    return parts if between.isEmpty() else pin(connected_components(reduce(DataFrame.union, [*links, between])))
 
 
 def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -339,32 +429,22 @@ def embedding_groups(table: DataFrame, threshold: float = THRESHOLD) -> DataFram
     Equal vectors are one class with a weight. A first neighbour graph comes from orders by
     random projections. Rounds of NN-descent then join the neighbours of neighbours:
     each vector's list, bounded, is a group whose members propose each other. Pairs
-    seen that reach the threshold are verified in double precision. Components follow.
-    The search is no proof that a pair is absent, so all vectors are then compared in
-    slabs for links between components, and what is found joins these: the groups
-    are those of all links, whatever the search has missed. Links are counted within
-    components, in blocks.
+    that reach the threshold are verified in double precision, and their components
+    joined. A list has places for the nearest of the vector's own component and for
+    the nearest of each other one, so a list full of links is enlarged by the whole
+    component and its places go to vectors further off; rounds go on while any link
+    between components is found, and ``ROUNDS`` more. An audit compares a bounded draw of
+    vectors with all: if a link of theirs lies between two components, the search goes
+    on with new orders and lists twice as long. After ``TRIES`` of these all vectors are compared
+    in blocks, so a search that fails costs time and no links. An audit without a
+    miss is an estimate: of tables larger than the draw, links may be lost. Links are counted
+    within components, in blocks.
     """
     vectors = pin(_unit_vectors(table))
     classes = vectors.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     # Classes have numbers of their own: different vectors may share a vec_id.
     classes = pin(classes.withColumn("key", F.monotonically_increasing_id()))
-    points = classes.select(F.col("key").alias("vec_id"), "vector")
-    light = pin(_in_single(points))
-    rows = classes.count()
-    pairs = _both_ways(_first_links(_orders(points, rows, SEED), 2))
-    seen = []
-    for _ in range(ROUNDS + 1):
-        proposed = _local_joins(_lists(pairs, light), NEIGHBOURS)
-        graph = pin(_nearest(proposed if not seen else proposed.unionByName(seen[-1]), NEIGHBOURS))
-        seen.append(graph)
-        pairs = _candidates(graph, NEIGHBOURS)
-    links = pin(_within(reduce(DataFrame.unionByName, seen), points, threshold))
-    parts = pin(connected_components(links))
-    # What the search has not seen: links between components, or of vectors in none.
-    missed = pin(_cross_links(points, parts, threshold))
-    if not missed.isEmpty():
-        parts = pin(connected_components(links.unionByName(missed)))
+    parts = _components(classes.select(F.col("key").alias("vec_id"), "vector"), threshold)
     members = parts.join(classes, F.col("id") == F.col("key"))
     members = pin(members.select("component", F.col("id").alias("vec_id"), "rep", "weight", "vector"))
     least = pin(members.groupBy("component").agg(F.min("rep").alias("least")))

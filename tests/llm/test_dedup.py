@@ -204,7 +204,8 @@ def test_embeddings_that_share_a_vec_id(spark):
 
 def test_embedding_groups_that_fill_each_others_lists(spark, monkeypatch):
     """Links between two dense groups rank below all links inside them."""
-    monkeypatch.setattr(nn_descent, "SLAB_BYTES", 128 << 10, raising=False)
+    # The search itself finds them, and the audit agrees.
+    monkeypatch.setattr(nn_descent, "_links_between", None)
     rng = np.random.default_rng(15)
     size, width = 100, 64
     center, apart = np.linalg.qr(rng.normal(size=(width, 2)))[0].T
@@ -229,3 +230,40 @@ def test_embedding_groups_that_the_search_misses(spark, monkeypatch):
     vectors = [[float(c) for c in row] for row in x]
     found = sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect())
     assert found == grouped(vectors) and sum(n for _, n, _, _ in found) >= 30
+
+
+def test_embedding_links_come_from_the_search(spark, monkeypatch):
+    """Planted links of all sizes of groups are found without the comparison of all vectors."""
+    monkeypatch.setattr(nn_descent, "_links_between", None)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(500, 48))
+    near = [x[n % 60] + rng.normal(size=48) * rng.choice((0.02, 0.2)) for n in range(240)]
+    dense = [x[70] + rng.normal(size=48) * 0.1 for _ in range(120)]
+    chain = [x[80]]
+    for _ in range(40):
+        chain.append(chain[-1] + rng.normal(size=48) * 0.25)
+    vectors = [[float(c) for c in row] for row in [*x, *near, *dense, *chain]]
+    wanted = grouped(vectors)
+    assert sum(n > 0 for _, n, _, _ in wanted) > 300
+    assert sorted(tuple(r) for r in embedding_groups(embeddings(spark, vectors)).collect()) == wanted
+
+
+def test_audit_counts_links_between_components(spark):
+    x = np.array([[1, 0], [0.99, 0.1], [0, 1], [0.1, 0.99], [-1, 0]], "<f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    # Two links, each from both ends; the second lies between two components.
+    rows = [(n, part, x[n].tobytes(), part == 0) for n, part in enumerate((0, 0, 2, 3, 4))]
+    named = spark.createDataFrame(rows, "vec_id long, part long, vector binary, linked boolean")
+    assert nn_descent._audit(named, 10, 0, 0.95) == (4, 2)
+    assert nn_descent._audit(named.limit(0), 10, 0, 0.95) == (0, 0)
+
+
+def test_first_links_reach_past_a_component(spark):
+    """A component that fills an order does not hide the vectors behind it."""
+    rows = [(0, 0)] + [(n, 1) for n in range(1, 400)] + [(400, 400), (401, 401)]
+    orders = spark.createDataFrame([(n, part, 0, 2, n) for n, part in rows], "vec_id long, part long, nth int, width int, key long")
+    found = {(r.a, r.b) for r in nn_descent._first_links(orders.coalesce(1), 2).collect()}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert int(parts) > 1 or {(1, 0), (400, 399), (400, 0), (401, 400), (401, 399)} <= found
+    # Whatever the cut into tasks, each vector but a task's first meets the one before it.
+    assert len({a for a, _ in found}) >= len(rows) - int(parts)
