@@ -27,6 +27,8 @@ AUDIT = 1024
 AUDIT_BYTES = 4 << 20
 # Rows of a component, or of all, compared with each other in one step.
 BLOCK = 1024
+# Rows a task of the search collects before it gives them out.
+GIVEN = 1 << 16
 # Inner products of unit vectors in single precision are good to this.
 SLACK = 1e-4
 
@@ -169,8 +171,9 @@ def _local_joins(lists: DataFrame, each: int) -> DataFrame:
     """
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "part", "own", "cosine"]
         for batch in batches:
-            out = []
+            out, size = [], 0
             for members in batch.column(0):
                 rows = members.as_py()
                 ids = np.array([row["b"] for row in rows], np.int64)
@@ -197,9 +200,12 @@ def _local_joins(lists: DataFrame, each: int) -> DataFrame:
                     value = np.take_along_axis(near, top, 1).ravel()
                     a, top, seen = np.repeat(ids, top.shape[1]), top.ravel(), value > -2
                     out.append((a[seen], ids[top[seen]], parts[top[seen]], np.full(seen.sum(), own), value[seen]))
+                    size += len(a)
+                if size >= GIVEN:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
+                    out, size = [], 0
             if out:
-                columns = [pa.array(np.concatenate(column)) for column in zip(*out, strict=True)]
-                yield pa.record_batch(columns, names=["a", "b", "part", "own", "cosine"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
     return lists.select("members").mapInArrow(joined, "a bigint, b bigint, part bigint, own boolean, cosine float")
 
@@ -289,12 +295,13 @@ def _audit(named: DataFrame, rows: int, seed: int, threshold: float) -> tuple[in
             ids, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             links = missed = 0
             for width, places in by_width.items():
-                if width in shared.value:
+                for low in range(0, len(places) if width in shared.value else 0, BLOCK):
                     of, part, y = shared.value[width]
-                    near = np.stack([np.frombuffer(blobs[n], "<f8") for n in places]) @ y.T >= threshold
-                    near &= ids[places][:, None] != of[None, :]
+                    some = places[low : low + BLOCK]
+                    near = np.stack([np.frombuffer(blobs[n], "<f8") for n in some]) @ y.T >= threshold
+                    near &= ids[some][:, None] != of[None, :]
                     links += int(near.sum())
-                    missed += int((near & (parts[places][:, None] != part[None, :])).sum())
+                    missed += int((near & (parts[some][:, None] != part[None, :])).sum())
             yield pa.record_batch([pa.array([links]), pa.array([missed])], names=["links", "missed"])
 
     found = named.select("vec_id", "part", "vector").mapInArrow(compared, "links bigint, missed bigint")
